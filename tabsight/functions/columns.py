@@ -24,6 +24,11 @@ DATE_FORMATS = (
 )
 
 
+def named(name: str) -> Column:
+    """A column by its exact name, whatever characters the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def is_numeric(data_type: T.DataType) -> bool:
     return isinstance(data_type, NUMERIC_TYPES)
 
@@ -56,7 +61,7 @@ def parse_datetime(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Colum
     """Mixed-format date parsing: the first layout that reads the value wins, else null."""
     trimmed = F.trim(text)
     attempts = [F.try_to_timestamp(trimmed, F.lit(fmt)) for fmt in formats]
-    return F.when(trimmed.rlike(DATE_SEPARATOR), F.coalesce(*attempts))
+    return F.when(trimmed.rlike(DATE_SEPARATOR), F.coalesce(*attempts)).cast("timestamp_ntz")
 
 
 def rounded(value: Column, digits: int = 6) -> Column:

@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabsight.functions.columns import named
+
 
 def per_column(
     df: DataFrame,
@@ -19,7 +21,7 @@ def per_column(
     same job, so the table is scanned once however many columns it has.
     """
     structs = [
-        F.struct(F.lit(name).alias("column"), *[e.alias(k) for k, e in measure(name, F.col(name)).items()])
+        F.struct(F.lit(name).alias("column"), *[e.alias(k) for k, e in measure(name, named(name)).items()])
         for name in columns
     ]
     wide = df.groupBy(*by).agg(F.array(*structs).alias("_rows"))
@@ -29,14 +31,14 @@ def per_column(
 def unpivot_text(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., column, value) with every value as text and nulls dropped."""
     entries = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+        *[F.struct(F.lit(c).alias("column"), named(c).cast("string").alias("value")) for c in columns]
     )
     return df.select(*keep, F.inline(entries)).where(F.col("value").isNotNull())
 
 
 def unpivot_number(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     entries = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+        *[F.struct(F.lit(c).alias("column"), named(c).cast("double").alias("value")) for c in columns]
     )
     return df.select(*keep, F.inline(entries)).where(F.col("value").isNotNull())
 

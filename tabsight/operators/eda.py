@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tabsight.functions.columns import is_numeric, numeric_columns, pearson, ratio, skew_corrected
+from tabsight.functions.columns import is_numeric, numeric_columns, ratio, skew_corrected
 from tabsight.functions.frames import per_column, unpivot_number, value_counts
 from tabsight.operators.ordinal import quantiles
 
@@ -148,15 +148,54 @@ def describe_columns(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Lower triangle in long form: every unordered pair once, over pairwise-complete rows, in one aggregate."""
+    """Lower triangle in long form: every unordered pair once, over pairwise-complete rows.
+
+    Two scans. The first measures each column's mean and gaps (one small row per column). The second sums
+    products of centred values, all pairs in one map-side-combined aggregate: one sum per pair where
+    neither side has gaps, six where the complete rows differ from pair to pair. Centring first keeps the
+    sums well conditioned.
+    """
     columns = list(columns or numeric_columns(df))
-    ordinal = {c: i for i, c in enumerate(columns)}
-    pairs = [(a, b) for a in columns for b in columns if ordinal[a] < ordinal[b]]
-    structs = [
-        F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias("correlation"))
-        for a, b in pairs
-    ]
-    return df.agg(F.array(*structs).alias("_rows")).select(F.inline("_rows"))
+    n = F.count(F.lit(1))
+    shape = {
+        row["column"]: row
+        for row in per_column(
+            df, columns, lambda _, c: {"mean": F.avg(c.cast("double")), "gaps": n - F.count(c)}
+        ).collect()
+    }
+    centred = df.select(
+        *[(F.col(c).cast("double") - F.lit(shape[c]["mean"])).alias(f"c{i}") for i, c in enumerate(columns)]
+    )
+    full = [shape[c]["gaps"] == 0 for c in columns]
+    sums, pairs = {}, []
+    for i in range(len(columns)):
+        for j in range(i + 1, len(columns)):
+            x, y, key = F.col(f"c{i}"), F.col(f"c{j}"), f"{i}_{j}"
+            sums[f"xy_{key}"] = F.sum(x * y)
+            if full[i] and full[j]:
+                sums[f"xx_{i}"], sums[f"xx_{j}"] = F.sum(x * x), F.sum(y * y)
+            else:
+                sums[f"n_{key}"] = F.count(x * y)
+                for tag, value, other in (("x", x, y), ("y", y, x)):
+                    kept = F.when(other.isNotNull(), value)
+                    sums[f"{tag}1_{key}"], sums[f"{tag}2_{key}"] = F.sum(kept), F.sum(kept * kept)
+            pairs.append((i, j))
+    totals = centred.agg(*[e.alias(k) for k, e in sums.items()])
+    rows = []
+    for i, j in pairs:
+        key = f"{i}_{j}"
+        if full[i] and full[j]:
+            cov, vx, vy = F.col(f"xy_{key}"), F.col(f"xx_{i}"), F.col(f"xx_{j}")
+        else:
+            count = F.nullif(F.col(f"n_{key}").cast("double"), F.lit(0.0))
+            x1, y1 = F.col(f"x1_{key}"), F.col(f"y1_{key}")
+            cov = F.col(f"xy_{key}") - x1 * y1 / count
+            vx, vy = F.col(f"x2_{key}") - x1 * x1 / count, F.col(f"y2_{key}") - y1 * y1 / count
+        spread = F.when((vx > 0) & (vy > 0), F.sqrt(vx) * F.sqrt(vy))
+        rows.append(
+            F.struct(F.lit(columns[i]).alias("left"), F.lit(columns[j]).alias("right"), F.try_divide(cov, spread).alias("correlation"))
+        )
+    return totals.select(F.inline(F.array(*rows)))
 
 
 def top_correlations(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_CORRELATIONS) -> DataFrame:

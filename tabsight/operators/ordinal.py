@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabsight.functions.columns import md5_order
+from tabsight.functions.columns import md5_order, named
 from tabsight.functions.frames import unpivot_number
 from tabsight.session import is_small, pin
 
@@ -150,7 +150,7 @@ def quantiles(
         plist = F.array(*[F.lit(float(p)) for p in probs])
         structs = []
         for c in columns:
-            x = F.col(c).cast("double")
+            x = named(c).cast("double")
             q = F.percentile(x, plist) if exact else F.percentile_approx(x, plist, 10000)
             structs.append(F.struct(F.lit(c).alias("column"), q.alias("q")))
         wide = df.groupBy(*by).agg(F.array(*structs).alias("_rows"))

@@ -101,14 +101,17 @@ def _pairs(columns, source):
 _CORR = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *LINE]
 
 
-@query("d5_top_correlations", f"SELECT * FROM ({_pairs(_CORR, 'lineitem')}) WHERE abs(correlation) >= 0.1 ORDER BY abs(correlation) DESC LIMIT 10")
+_MIXED = ["event_id", "user_id", "value", "sparse", "flag"]
+
+
+@query("d5_top_correlations", f"{WITH_DIRTY} SELECT * FROM ({_pairs(_MIXED, 'dirty')}) WHERE abs(correlation) >= 0.1 ORDER BY abs(correlation) DESC LIMIT 10")
 def _(spark, d):
-    return numbers(E.top_correlations(table(spark, d, "lineitem"), _CORR), 6)
+    return numbers(E.top_correlations(dirty(spark, d), _MIXED), 6)
 
 
-@query("d6_correlation_matrix", WITH_DIRTY + " " + _pairs(["event_id", "user_id", "value", "sparse", "flag"], "dirty"))
+@query("d6_correlation_matrix", _pairs(_CORR, "lineitem"))
 def _(spark, d):
-    return numbers(E.correlation_matrix(dirty(spark, d), ["event_id", "user_id", "value", "sparse", "flag"]), 6)
+    return numbers(E.correlation_matrix(table(spark, d, "lineitem"), _CORR), 6)
 
 
 @query(
