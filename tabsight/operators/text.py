@@ -30,7 +30,8 @@ def documents(text: Column) -> Column:
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf). Whole texts are placed by key once; exploding, counting and the later per-document
     norm all reuse that placement, so only the text itself crosses the network."""
-    placed = df.select(key, text).repartition(F.col(key))
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.select(key, text).repartition(slices, F.col(key))
     exploded = placed.select(key, F.explode(X.terms(X.tokens(F.col(text)))).alias("term"))
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -38,8 +39,11 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
 def vocabulary(counts: DataFrame, n_documents: DataFrame, max_terms: int = MAX_TERMS, min_df: int = MIN_DOCUMENTS) -> DataFrame:
     """(term, idf): at most ``max_terms`` terms by corpus frequency. ``n_documents`` is a one-row count."""
     per_term = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    frequent = per_term.where(F.col("df") >= min_df)
-    kept = frequent.orderBy(F.col("total").desc(), "term").limit(max_terms)
+    # terms that are frequent enough come first; the rest are used only when no term is
+    enough = F.col("df") >= min_df
+    kept = per_term.orderBy(enough.desc(), F.col("total").desc(), "term").limit(max_terms)
+    best = F.max("df").over(Window.partitionBy(F.lit(1)))  # over at most max_terms rows
+    kept = kept.withColumn("_best", best).where(enough | (F.col("_best") < min_df))
     n = F.broadcast(n_documents.select(F.col("n").alias("_n"), F.lit(1).alias("_k")))
     idf = F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1
     return kept.withColumn("_k", F.lit(1)).join(n, "_k").select("term", idf.alias("idf"))
@@ -57,10 +61,7 @@ class Tfidf:
     def fit(cls, df: DataFrame, key: str, text: str, max_terms: int = MAX_TERMS, min_df: int = MIN_DOCUMENTS) -> Tfidf:
         n = df.agg(F.count(F.lit(1)).alias("n"))
         counts = term_counts(df, key, text)
-        vocab = vocabulary(counts, n, max_terms, min_df)
-        if min_df > 1 and vocab.isEmpty():
-            vocab = vocabulary(counts, n, max_terms, 1)
-        return cls(key, text, vocab)
+        return cls(key, text, vocabulary(counts, n, max_terms, min_df))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """(key, term, weight), unit length per document. The vocabulary is bounded, so it is broadcast."""

@@ -150,7 +150,7 @@ def _(spark, d):
 @query(
     "f13_one_hot",
     "SELECT event_id, "
-    + ", ".join(f"CASE WHEN event_type = '{v}' AND known THEN 1.0 ELSE 0.0 END AS event_type_{v}" for v in ["click", "error", "purchase", "view"])
+    + ", ".join(f"CAST(event_type = '{v}' AND known AS DOUBLE) AS event_type_{v}" for v in ["click", "error", "purchase", "view"])
     + f" FROM (SELECT event_id, event_type, event_type IN (SELECT event_type FROM events WHERE event_type <> 'signup' AND ts < {_SPLIT}) AS known FROM events)",
 )
 def _(spark, d):
@@ -164,7 +164,7 @@ _ORDER = ("5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH")
 
 @query(
     "f14_ordinal_encode",
-    "SELECT o_orderkey, CASE o_orderpriority WHEN '5-LOW' THEN 0.0 WHEN '4-NOT SPECIFIED' THEN 1.0 WHEN '3-MEDIUM' THEN 2.0 WHEN '2-HIGH' THEN 3.0 ELSE -1.0 END AS o_orderpriority FROM orders",
+    "SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '5-LOW' THEN 0.0 WHEN '4-NOT SPECIFIED' THEN 1.0 WHEN '3-MEDIUM' THEN 2.0 WHEN '2-HIGH' THEN 3.0 ELSE -1.0 END AS DOUBLE) AS o_orderpriority FROM orders",
 )
 def _(spark, d):
     orders = table(spark, d, "orders")
@@ -229,8 +229,8 @@ def _(spark, d):
 
 @query(
     "f20_lineage",
-    union_all([f"SELECT 'ts_{p}' AS encoded, 'ts' AS source FROM region GROUP BY ALL" for p in R.DATETIME_PARTS])
-    + " UNION ALL SELECT 'value', 'value' FROM region GROUP BY ALL UNION ALL SELECT DISTINCT 'event_type_' || event_type, 'event_type' FROM events",
+    union_all([f"SELECT 'ts_{p}' AS encoded, 'ts' AS source" for p in R.DATETIME_PARTS])
+    + " UNION ALL SELECT 'value', 'value' UNION ALL SELECT DISTINCT 'event_type_' || event_type, 'event_type' FROM events",
 )
 def _(spark, d):
     events = table(spark, d, "events")
