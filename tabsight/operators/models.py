@@ -23,6 +23,7 @@ from tabsight.operators.resample import smote
 from tabsight.operators.strategy import ColumnStrategy
 from tabsight.operators.target import choose_target_transform, from_model_scale, to_model_scale
 from tabsight.operators.text import TextTopics
+from tabsight.session import pin
 
 log = logging.getLogger(__name__)
 
@@ -210,6 +211,16 @@ def _prepare(train: DataFrame, recipe: Recipe, target: str, task: str, key: str,
     return fitted, use_log, labels, encoded.select("features", label.alias("label"))
 
 
+def _fit_baseline(train: DataFrame, target: str, task: str, labels: list[str]) -> FittedModel:
+    value = baseline(train, target, task).first()["prediction"]
+    shares = []
+    if task == "classification":
+        sizes = train.groupBy(F.col(target).cast("string").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+        counts = {r["_v"]: r["_c"] for r in sizes.collect()}  # one row per class
+        shares = [counts[v] / sum(counts[x] for x in labels) for v in labels]
+    return FittedModel(None, None, task, labels, constant=value, shares=shares)
+
+
 def cross_validate(
     df: DataFrame,
     recipe: Recipe,
@@ -219,20 +230,41 @@ def cross_validate(
     candidates: Sequence[Candidate] | None = None,
     folds: Sequence[int] | None = None,
     resample: bool = False,
-    parallel: int = 2,
+    parallel: int = 4,
+    parallel_folds: int = 2,
     seed: int = 42,
 ) -> tuple[DataFrame, dict[str, str]]:
     """Held-out predictions (model, fold, key, y, pred[, probabilities]) and the error of each failed candidate.
 
     ``df`` has a ``fold`` column, or (fold, role) rows for time-ordered folds. All candidates share the splits.
     Per fold the recipe is fitted on training rows only and its encoded rows are persisted while the
-    candidates train on them; a candidate that fails is recorded and the others go on.
+    candidates train on them, as concurrent Spark jobs. Predictions are checkpointed as they are made, so the
+    result does not carry the plans of every fold. A candidate that fails is recorded and the others go on.
     """
     candidates = list(candidates or roster(task))
+    df = df.persist()
     timed = "role" in df.columns
     folds = list(folds) if folds is not None else sorted(r["fold"] for r in df.select("fold").distinct().collect())
-    results, errors = [], {}
-    for fold in folds:
+    errors: dict[str, str] = {}
+
+    def attempt(candidate: Candidate, fold: int, train: DataFrame, held_out: DataFrame, encoded: DataFrame, n: int, parts) -> DataFrame | None:
+        fitted, use_log, labels = parts
+        try:
+            if candidate.is_baseline:
+                model = _fit_baseline(train, target, task, labels)
+                scored = model.predict(held_out, [key, target])
+            else:
+                model = FittedModel(fitted, _fit_candidate(candidate, encoded, n, labels), task, labels, use_log)
+                scored = model.score(held_out, [key, target])
+            y = F.col(target).cast("string" if task == "classification" else "double")
+            rest = ["pred"] + (["probabilities"] if task == "classification" else [])
+            return pin(scored.select(F.lit(candidate.name).alias("model"), F.lit(int(fold)).cast("long").alias("fold"), key, y.alias("y"), *rest))
+        except Exception as error:  # noqa: BLE001 - a failing candidate becomes its leaderboard row
+            log.warning("%s failed on fold %s: %s", candidate.name, fold, error)
+            errors[candidate.name] = str(error).splitlines()[0][:200]
+            return None
+
+    def run_fold(fold: int) -> list[DataFrame]:
         if timed:
             train = df.where((F.col("fold") == fold) & (F.col("role") == "train"))
             test = df.where((F.col("fold") == fold) & (F.col("role") == "test"))
@@ -240,33 +272,18 @@ def cross_validate(
             train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
         fitted, use_log, labels, encoded = _prepare(train, recipe, target, task, key, resample, seed)
         encoded = encoded.persist()
+        held_out = fitted.transform(test, [key, target]).persist()
         n = encoded.count()
-        held_out = fitted.transform(test, [key, target])
-
-        def run(candidate: Candidate, fold=fold, train=train, held_out=held_out, fitted=fitted, use_log=use_log, labels=labels, encoded=encoded, n=n):
-            try:
-                if candidate.is_baseline:
-                    value = baseline(train, target, task).first()["prediction"]
-                    shares = []
-                    if task == "classification":
-                        counts = {r["_v"]: r["count"] for r in train.groupBy(F.col(target).cast("string").alias("_v")).count().collect()}
-                        shares = [counts[v] / sum(counts[x] for x in labels) for v in labels]
-                    model = FittedModel(None, None, task, labels, constant=value, shares=shares)
-                    scored = model.predict(held_out, [key, target])
-                else:
-                    model = FittedModel(fitted, _fit_candidate(candidate, encoded, n, labels), task, labels, use_log)
-                    scored = model.score(held_out, [key, target])
-                y = F.col(target).cast("string" if task == "classification" else "double")
-                rest = ["pred"] + (["probabilities"] if task == "classification" else [])
-                return scored.select(F.lit(candidate.name).alias("model"), F.lit(int(fold)).cast("long").alias("fold"), key, y.alias("y"), *rest)
-            except Exception as error:  # noqa: BLE001 - a failing candidate becomes its leaderboard row
-                log.warning("%s failed on fold %s: %s", candidate.name, fold, error)
-                errors[candidate.name] = str(error).splitlines()[0][:200]
-                return None
-
         with ThreadPoolExecutor(parallel) as pool:
-            results += [p for p in pool.map(run, candidates) if p is not None]
+            parts = (fitted, use_log, labels)
+            made = list(pool.map(lambda c: attempt(c, fold, train, held_out, encoded, n, parts), candidates))
         encoded.unpersist()
+        held_out.unpersist()
+        return [p for p in made if p is not None]
+
+    with ThreadPoolExecutor(parallel_folds) as pool:
+        results = [p for made in pool.map(run_fold, folds) for p in made]
+    df.unpersist()
     if not results:
         raise ValueError("no model could be trained: " + "; ".join(errors.values()))
     out = results[0]

@@ -12,10 +12,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabsight.functions.columns import named, ratio
-from tabsight.functions.frames import per_column
+from tabsight.functions.frames import per_column, value_counts
 from tabsight.operators.ordinal import quantiles
 from tabsight.operators.select import univariate_scores
 from tabsight.operators.strategy import MAX_ONEHOT, ColumnStrategy
@@ -41,17 +41,15 @@ def datetime_part(c: Column, part: str) -> Column:
     return value.cast("double")
 
 
-def label_mode(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    """The commonest label per column; ties go to the smallest label."""
+def common_labels(df: DataFrame, columns: Sequence[str], k: int) -> dict[str, list[str]]:
+    """The ``k`` commonest labels per column, ties by label, from one job; at most ``k`` rows per column are read."""
     if not columns:
         return {}
-    out = {}
-    for name in columns:
-        counts = (
-            df.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        )
-        top = counts.orderBy(F.col("n").desc(), "v").first()
-        out[name] = top["v"] if top else MISSING_LABEL
+    order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
+    ranked = value_counts(df, columns).withColumn("_p", F.row_number().over(order)).where(F.col("_p") <= k)
+    out: dict[str, list[str]] = {c: [] for c in columns}
+    for row in sorted(ranked.collect(), key=lambda r: r["_p"]):
+        out[row["column"]].append(row["value"])
     return out
 
 
@@ -204,16 +202,24 @@ class Recipe:
 
     def fit(self, train: DataFrame) -> FittedRecipe:
         fitted = FittedRecipe(self.strategies)
-        labels = [s.column for s in self.strategies if s.role in ("categorical", "ordinal", "text") and s.impute == "most_frequent"]
-        fitted.label_fill = label_mode(train, labels)
+        labels = [s.column for s in self.strategies if s.role in ("categorical", "ordinal", "text") and (s.impute == "most_frequent" or s.encode == "onehot")]
+        known = common_labels(train, labels, MAX_ONEHOT + 1)
+        fitted.label_fill = {c: v[0] if v else MISSING_LABEL for c, v in known.items()}
+        marked = [s.column for s in self.strategies if s.encode == "onehot" and s.impute == "constant"]
+        gaps = {}
+        if marked:
+            row = train.agg(*[F.count_if(named(c).isNull()).alias(f"g{i}") for i, c in enumerate(marked)]).first()
+            gaps = {c: row[f"g{i}"] for i, c in enumerate(marked)}
         for s in self.strategies:
             if s.role == "ordinal":
                 continue
             if s.encode == "onehot":
-                rows = train.select(fitted._label(s).alias("v")).where(F.col("v").isNotNull()).distinct().limit(MAX_ONEHOT + 1).collect()
-                if len(rows) > MAX_ONEHOT:
+                words = set(known[s.column])
+                if gaps.get(s.column) or (s.impute == "most_frequent" and not words):
+                    words.add(MISSING_LABEL)
+                if len(words) > MAX_ONEHOT:
                     raise UnfittableColumn(f"{s.column} has more than {MAX_ONEHOT} labels; use frequency encoding")
-                fitted.vocabularies[s.column] = sorted(r["v"] for r in rows)
+                fitted.vocabularies[s.column] = sorted(words)
             elif s.encode == "frequency":
                 fitted.frequencies[s.column] = frequency_table(train, fitted._label(s))
             elif s.encode == "tfidf":

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabsight.functions.columns import rounded
 from tabsight.operators import verbs as V
+from tabsight.operators.ordinal import ordinal
 from tabsight.plans.dirty import WITH_DIRTY, dirty
 from tabsight.plans.registry import query, r, table, union_all
 
@@ -241,12 +242,10 @@ def _(spark, d):
     return _numbers(V.describe(table(spark, d, "lineitem"), _DESCRIBED), 4)
 
 
-@query("m31_sort_values", WITH_DIRTY + " SELECT event_id, value, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id, event_type) AS position FROM dirty QUALIFY position <= 50")
+@query("m31_sort_values", WITH_DIRTY + " SELECT event_id, value, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) AS position FROM dirty")
 def _(spark, d):
-    from tabsight.operators.ordinal import ordinal
-
-    top = V.sort_values(dirty(spark, d), [("value", False), ("event_id", True)]).limit(50)
-    return ordinal(top, [F.col("value").desc_nulls_last(), "event_id"], name="position", small=True).select("event_id", "value", "position")
+    rows = dirty(spark, d).select("event_id", "value")
+    return ordinal(V.sort_values(rows, [("value", False), ("event_id", True)]), [F.col("value").desc_nulls_last(), "event_id"], name="position")
 
 
 @query("m32_head", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5")
