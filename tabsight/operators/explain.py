@@ -136,7 +136,7 @@ def tree_shap(model, encoded: DataFrame, width: int, keep: Sequence[str], output
             x = np.vstack(b["_x"].to_numpy()) if len(b) else np.zeros((0, width))
             phi, base = _path_phi(x, paths, width)
             out = b.drop(columns="_x")
-            out["phi"] = list(phi)
+            out["phi"] = pd.Series(list(phi), index=out.index, dtype=object)
             out["base"] = base
             yield out
 

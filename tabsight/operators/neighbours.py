@@ -72,7 +72,7 @@ def nearest(points: DataFrame, k: int, pivots: int = PIVOTS, block: int = BLOCK,
             if reach.shape[1] <= k:
                 kth = np.full(len(b), np.inf)
             row, col = np.nonzero(d - rad[None, :] <= kth[:, None] * (1 + 1e-9) + 1e-12)
-            yield pd.DataFrame({"key": b["key"].to_numpy()[row], "x": list(x[row]), "cell": np.array(names)[col]})
+            yield pd.DataFrame({"key": b["key"].to_numpy()[row], "x": _objects(x[row]), "cell": np.array(names)[col]})
 
     visits = pin(celled.select("x", "key").mapInPandas(to_visits, "key long, x array<double>, cell int"))
     load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -93,9 +93,8 @@ def nearest(points: DataFrame, k: int, pivots: int = PIVOTS, block: int = BLOCK,
     )
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["key", "neighbour", "distance", "point", "slots"]
         if not len(left) or not len(right):
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: pd.Series(dtype=object) for n in ("key", "neighbour", "distance", "point", "slots")})
         b, bk, copies = np.vstack(right["x"].to_numpy()), right["key"].to_numpy(), right["copies"].to_numpy()
         parts = []
         for key, x in zip(left["key"].to_numpy(), left["x"].to_numpy()):
@@ -105,7 +104,7 @@ def nearest(points: DataFrame, k: int, pivots: int = PIVOTS, block: int = BLOCK,
             order = order[slots[order] > 0][:k]
             parts.append((np.full(len(order), key), bk[order], d[order], order, slots[order]))
         key, other, dist, at, slots = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        return pd.DataFrame({"key": key, "neighbour": other, "distance": dist, "point": list(b[at]), "slots": slots})
+        return pd.DataFrame({"key": key, "neighbour": other, "distance": dist, "point": _objects(b[at]), "slots": slots})
 
     found = (
         asking.groupBy("cell", "b", "v")
@@ -122,3 +121,8 @@ def nearest(points: DataFrame, k: int, pivots: int = PIVOTS, block: int = BLOCK,
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((x - c) ** 2).sum(1)) for c in centres], axis=1)
+
+
+def _objects(rows: np.ndarray) -> pd.Series:
+    """Vectors as an object column; an empty list alone would become a number column."""
+    return pd.Series(list(rows), dtype=object)

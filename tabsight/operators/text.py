@@ -20,7 +20,7 @@ MAX_TERMS = 30_000
 MIN_DOCUMENTS = 3
 TOPICS = 120
 _OVERSAMPLE = 10
-_POWER_PASSES = 4
+_POWER_PASSES = 5
 
 
 def documents(text: Column) -> Column:
@@ -126,7 +126,7 @@ class TextTopics:
                     dense = np.zeros(width)
                     dense[cols] = vals
                     out.append(dense)
-            return pd.Series(out)
+            return pd.Series(out, dtype=object)
 
         return df.withColumn(name, project(X.terms(X.tokens(F.col(text)))))
 
