@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,8 @@ DISTINCTIVE_Z = 0.5
 DISTINCTIVE_LIFT = 0.15
 MAX_DISTINCTIVE = 4
 WEAK_SILHOUETTE = 0.5
+#: Starts fitted at the same time, as concurrent Spark jobs over one persisted frame.
+PARALLEL_STARTS = 4
 
 
 def cluster_columns(df: DataFrame, target: str | None = None) -> DataFrame:
@@ -68,12 +71,13 @@ def prepare_matrix(df: DataFrame, numeric: Sequence[str], categorical: Sequence[
 
 def kmeans(df: DataFrame, k: int, seed: int = 42, starts: int = 10, features: str = "features"):
     """The cheapest of several k-means|| fits over a persisted vector column."""
-    best = None
-    for i in range(starts):
-        model = KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="cluster").fit(df)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+
+    def fit(i: int):
+        return KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="cluster").fit(df)
+
+    with ThreadPoolExecutor(PARALLEL_STARTS) as pool:
+        models = list(pool.map(fit, range(starts)))
+    return min(models, key=lambda m: m.summary.trainingCost)
 
 
 # ---- K-Prototypes --------------------------------------------------------------------------------
@@ -119,8 +123,8 @@ def kprototypes(
     if gamma is None:
         spread = df.agg(*[F.stddev_pop(c).alias(c) for c in numeric]).first() if numeric else None
         gamma = 0.5 * float(np.mean([v or 0.0 for v in spread])) if spread is not None else 1.0
-    best = None
-    for start in range(starts):
+
+    def fit(start: int) -> Prototypes:
         picked = df.withColumn("_o", md5_order([key], seed + start)).orderBy("_o").limit(k).collect()  # k rows
         centres = [([r[c] for c in numeric], [r[c] for c in categorical]) for r in picked]
         model = Prototypes(numeric, categorical, gamma, centres, float("inf"), [])
@@ -144,9 +148,11 @@ def kprototypes(
                 moved[r["cluster"]] = ([r[f"n{i}"] for i in range(len(numeric))], [r[f"c{i}"] for i in range(len(categorical))])
             # the cost belongs to the centres it was measured with; the moved ones can only be cheaper
             model = Prototypes(numeric, categorical, gamma, moved, cost, model.costs)
-        if best is None or model.cost < best.cost:
-            best = model
-    return best
+        return model
+
+    with ThreadPoolExecutor(PARALLEL_STARTS) as pool:
+        models = list(pool.map(fit, range(starts)))
+    return min(models, key=lambda m: m.cost)
 
 
 # ---- quality -------------------------------------------------------------------------------------

@@ -32,7 +32,8 @@ BASELINE = "Baseline"
 
 @dataclass(frozen=True)
 class Candidate:
-    """One roster entry. ``make(n_rows, n_classes)`` builds an unfitted Spark ML estimator; None is the baseline."""
+    """One roster entry. ``make(n_rows, n_classes, redundant)`` builds an unfitted Spark ML estimator; None is the
+    baseline. ``redundant`` says that encoded features add up to a constant, as full one-hot sets do."""
 
     name: str
     make: object = None
@@ -43,7 +44,7 @@ class Candidate:
 
 
 def _boosted_classifier(rounds: int, depth: int, seed: int):
-    def make(_, classes):
+    def make(_, classes, __):
         gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed)
         return gbt if classes == 2 else OneVsRest(classifier=gbt, parallelism=2)
 
@@ -54,10 +55,10 @@ def roster(task: str, trees: int = 100, depth: int = 12, rounds: int = 100, seed
     """Forest, linear model, boosted trees and the featureless baseline. Any other Spark ML estimator can be added."""
     if task == "classification":
         return [
-            Candidate("Random forest", lambda n, c: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)),
+            Candidate("Random forest", lambda n, c, r: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)),
             Candidate(
                 "Logistic regression",
-                lambda n, c: LogisticRegression(
+                lambda n, c, r: LogisticRegression(
                     maxIter=1000, regParam=1.0 / max(n, 1), standardization=False, family="binomial" if c == 2 else "multinomial"
                 ),
             ),
@@ -65,9 +66,10 @@ def roster(task: str, trees: int = 100, depth: int = 12, rounds: int = 100, seed
             Candidate(BASELINE),
         ]
     return [
-        Candidate("Random forest", lambda n, c: RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed)),
-        Candidate("Linear regression", lambda n, c: LinearRegression(regParam=0.0)),
-        Candidate("Gradient-boosted trees", lambda n, c: GBTRegressor(maxIter=rounds, maxDepth=5, seed=seed)),
+        Candidate("Random forest", lambda n, c, r: RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed)),
+        # with redundant features plain least squares has many solutions; a trace of ridge picks the smallest
+        Candidate("Linear regression", lambda n, c, r: LinearRegression(regParam=1e-10 if r else 0.0)),
+        Candidate("Gradient-boosted trees", lambda n, c, r: GBTRegressor(maxIter=rounds, maxDepth=5, seed=seed)),
         Candidate(BASELINE),
     ]
 
@@ -191,8 +193,9 @@ def _use_log(train: DataFrame, target: str, task: str) -> bool:
     return task == "regression" and bool(choose_target_transform(train, target).first()["use_log"])
 
 
-def _fit_candidate(candidate: Candidate, encoded: DataFrame, n: int, labels: list[str]):
-    return candidate.make(n, len(labels)).fit(encoded.select("features", "label"))
+def _fit_candidate(candidate: Candidate, recipe: FittedRecipe, encoded: DataFrame, n: int, labels: list[str]):
+    redundant = any(s.encode == "onehot" for s in recipe.strategies)
+    return candidate.make(n, len(labels), redundant).fit(encoded.select("features", "label"))
 
 
 def _prepare(train: DataFrame, recipe: Recipe, target: str, task: str, key: str, resample: bool, seed: int):
@@ -254,7 +257,7 @@ def cross_validate(
                 model = _fit_baseline(train, target, task, labels)
                 scored = model.predict(held_out, [key, target])
             else:
-                model = FittedModel(fitted, _fit_candidate(candidate, encoded, n, labels), task, labels, use_log)
+                model = FittedModel(fitted, _fit_candidate(candidate, fitted, encoded, n, labels), task, labels, use_log)
                 scored = model.score(held_out, [key, target])
             y = F.col(target).cast("string" if task == "classification" else "double")
             rest = ["pred"] + (["probabilities"] if task == "classification" else [])
@@ -345,7 +348,7 @@ def fit_final(df: DataFrame, recipe: Recipe, candidate: Candidate, target: str,
     """The winning recipe and estimator on all rows, with the target scale the ranking used. No score is measured here."""
     fitted, use_log, labels, encoded = _prepare(df, recipe, target, task, key, resample, seed)
     encoded = encoded.persist()
-    model = _fit_candidate(candidate, encoded, encoded.count(), labels)
+    model = _fit_candidate(candidate, fitted, encoded, encoded.count(), labels)
     encoded.unpersist()
     return FittedModel(fitted, model, task, labels, use_log)
 

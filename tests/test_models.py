@@ -39,7 +39,7 @@ STRATEGIES = [
 @pytest.fixture(scope="module")
 def validated(churn):
     folded = G.stratified_kfold(churn, ["id"], "churned", 4)
-    failing = H.Candidate("Broken", lambda n, c: (_ for _ in ()).throw(RuntimeError("cannot be built")))
+    failing = H.Candidate("Broken", lambda n, c, r: (_ for _ in ()).throw(RuntimeError("cannot be built")))
     predictions, errors = H.cross_validate(folded, Recipe(STRATEGIES), "churned", "classification", "id", [*H.roster("classification", **QUICK), failing])
     return predictions, errors
 
