@@ -14,13 +14,14 @@ NUMBER_PATTERN = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 #: A date has a separator; bare digits never count as one.
 DATE_SEPARATOR = r"[-/:\s.]"
 
-#: Date layouts tried in this order.
+#: Date layouts tried in this order, each with the shape a value must have before it is parsed: most text
+#: is ruled out by the shape, and a failed parse is far dearer than a failed match.
 DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "dd/MM/yyyy",
-    "MMMM d, yyyy",
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
+    ("dd/MM/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("MMMM d, yyyy", r"^[A-Za-z]+ \d{1,2}, \d{4}$"),
 )
 
 
@@ -57,11 +58,11 @@ def parse_number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
 
 
-def parse_datetime(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+def parse_datetime(text: Column, formats: Sequence[tuple[str, str]] = DATE_FORMATS) -> Column:
     """Mixed-format date parsing: the first layout that reads the value wins, else null."""
     trimmed = F.trim(text)
-    attempts = [F.try_to_timestamp(trimmed, F.lit(fmt)) for fmt in formats]
-    return F.when(trimmed.rlike(DATE_SEPARATOR), F.coalesce(*attempts)).cast("timestamp_ntz")
+    attempts = [F.when(trimmed.rlike(shape), F.try_to_timestamp(trimmed, F.lit(fmt))) for fmt, shape in formats]
+    return F.coalesce(*attempts).cast("timestamp_ntz")
 
 
 def rounded(value: Column, digits: int = 6) -> Column:

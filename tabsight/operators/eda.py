@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabsight.functions.columns import is_numeric, numeric_columns, ratio, skew_corrected
 from tabsight.functions.frames import per_column, unpivot_number, value_counts
@@ -35,22 +35,31 @@ def _fences(quartiles: DataFrame) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """Mean, population std, min, quartiles, max and Tukey outlier count, one row per column."""
+    """Mean, population std, min, quartiles, max and Tukey outlier count, one row per column.
+
+    Quartiles are fitted first (one small row per column); everything else is then one aggregate.
+    """
     columns = list(columns or numeric_columns(df))
-    base = per_column(
-        df,
-        columns,
-        lambda _, c: {
+    fences = {row["column"]: row for row in _fence_literals(df, columns, exact)}
+
+    def measure(name, c):
+        f = fences[name]
+        return {
             "mean": F.avg(c),
             "std": F.stddev_pop(c),
             "minimum": F.min(c.cast("double")),
             "maximum": F.max(c.cast("double")),
-        },
-    )
-    # a handful of rows: one per column
-    return base.join(F.broadcast(_quartiles(df, columns, exact)), "column", "left").join(
-        F.broadcast(outlier_counts(df, columns, exact)), "column", "left"
-    )
+            **{k: F.first(F.lit(f[k]).cast("double")) for k in ("q1", "median", "q3")},
+            "outlier_count": _outside(c, f),
+        }
+
+    return per_column(df, columns, measure)
+
+
+def _outside(c: Column, fence) -> Column:
+    if fence["low"] is None:
+        return F.sum(F.lit(0).cast("long"))
+    return F.count_if((c < fence["low"]) | (c > fence["high"]))
 
 
 def _fence_literals(df: DataFrame, columns: Sequence[str], exact: bool) -> list:
@@ -62,14 +71,7 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: b
     """Rows outside the Tukey fences per column: fences are fitted first, then counted in one pass."""
     columns = list(columns or numeric_columns(df))
     fences = {row["column"]: row for row in _fence_literals(df, columns, exact)}
-
-    def measure(name, c):
-        f = fences[name]
-        if f["low"] is None:
-            return {"outlier_count": F.lit(0).cast("long")}
-        return {"outlier_count": F.count_if((c < f["low"]) | (c > f["high"]))}
-
-    return per_column(df, columns, measure)
+    return per_column(df, columns, lambda name, c: {"outlier_count": _outside(c, fences[name])})
 
 
 def boxplot_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ looks terms up in a vocabulary of bounded size and multiplies by the fitted topi
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabsight.functions import text as X
+from tabsight.session import spread
 
 # Limits.
 MAX_TERMS = 30_000
@@ -21,6 +23,7 @@ MIN_DOCUMENTS = 3
 TOPICS = 120
 _OVERSAMPLE = 10
 _POWER_PASSES = 5
+_DOCUMENT_BLOCK = 128
 
 
 def documents(text: Column) -> Column:
@@ -36,9 +39,20 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(counts: DataFrame, n_documents: DataFrame, max_terms: int = MAX_TERMS, min_df: int = MIN_DOCUMENTS) -> DataFrame:
+def corpus_counts(df: DataFrame, text: str) -> DataFrame:
+    """(term, df, total) without grouping by document: a row's own distinct terms say which documents have a
+    term, so only (term, counts) rows are shuffled, after combining on the map side."""
+
+    def entries(words: Column, tf: int, df_: int) -> Column:
+        return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df_).alias("df")))
+
+    listed = spread(df.select(text)).select(X.terms(X.tokens(F.col(text))).alias("_t"))
+    both = F.concat(entries(F.col("_t"), 1, 0), entries(F.array_distinct("_t"), 0, 1))
+    return listed.select(F.inline(both)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("total"))
+
+
+def vocabulary(per_term: DataFrame, n_documents: DataFrame, max_terms: int = MAX_TERMS, min_df: int = MIN_DOCUMENTS) -> DataFrame:
     """(term, idf): at most ``max_terms`` terms by corpus frequency. ``n_documents`` is a one-row count."""
-    per_term = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     # terms that are frequent enough come first; the rest are used only when no term is
     enough = F.col("df") >= min_df
     kept = per_term.orderBy(enough.desc(), F.col("total").desc(), "term").limit(max_terms)
@@ -60,8 +74,7 @@ class Tfidf:
     @classmethod
     def fit(cls, df: DataFrame, key: str, text: str, max_terms: int = MAX_TERMS, min_df: int = MIN_DOCUMENTS) -> Tfidf:
         n = df.agg(F.count(F.lit(1)).alias("n"))
-        counts = term_counts(df, key, text)
-        return cls(key, text, vocabulary(counts, n, max_terms, min_df))
+        return cls(key, text, vocabulary(corpus_counts(df, text), n, max_terms, min_df))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """(key, term, weight), unit length per document. The vocabulary is bounded, so it is broadcast."""
@@ -98,16 +111,14 @@ class TextTopics:
 
     @classmethod
     def fit(cls, df: DataFrame, text: str, topics: int = TOPICS, max_terms: int = MAX_TERMS, seed: int = 42) -> TextTopics:
-        keyed = df.select(F.monotonically_increasing_id().alias("_doc"), text)
         n_docs = df.count()
-        vocab = Tfidf.fit(keyed, "_doc", text, max_terms).vocab.orderBy("term").collect()  # bounded by max_terms
+        vocab = Tfidf.fit(df, "", text, max_terms).vocab.orderBy("term").collect()  # bounded by max_terms
         words = [row["term"] for row in vocab]
         idf = np.array([row["idf"] for row in vocab], dtype=float)
         width = min(topics, n_docs - 1)
         if width < 1 or len(words) <= width:
             return cls(words, idf, None, "term")
-        listed = df.select(X.terms(X.tokens(F.col(text))).alias("t"))
-        return cls(words, idf, _subspace(listed, words, idf, width, seed), "topic")
+        return cls(words, idf, _subspace(df, text, words, idf, width, seed), "topic")
 
     def transform(self, df: DataFrame, text: str, name: str) -> DataFrame:
         spark = df.sparkSession
@@ -128,40 +139,63 @@ class TextTopics:
                     out.append(dense)
             return pd.Series(out, dtype=object)
 
-        return df.withColumn(name, project(X.terms(X.tokens(F.col(text)))))
+        return spread(df).withColumn(name, project(X.terms(X.tokens(F.col(text)))))
 
 
-def _subspace(listed: DataFrame, words: list[str], idf: np.ndarray, width: int, seed: int) -> np.ndarray:
+def _subspace(df: DataFrame, text: str, words: list[str], idf: np.ndarray, width: int, seed: int) -> np.ndarray:
     """Right singular vectors by randomised subspace iteration (Halko, Martinsson and Tropp, 2011).
 
-    Each pass multiplies the Gram matrix by a thin block: tasks add up their own rows and the partial
-    blocks, whose size depends on vocabulary and width only, are summed by a tree of tasks.
+    Texts become sparse rows once and are persisted. Each pass multiplies the Gram matrix by a thin block:
+    tasks add up their own rows, and the partial blocks, whose size depends on vocabulary and width only, are
+    summed by a tree of tasks.
     """
-    context = listed.sparkSession.sparkContext
+    context = df.sparkSession.sparkContext
     shared = context.broadcast((words, idf))
+
+    @F.pandas_udf("struct<cols: array<int>, vals: array<double>>")
+    def sparse(batch: pd.Series) -> pd.DataFrame:
+        terms_, idf_ = shared.value
+        rows = list(_rows(batch, {w: i for i, w in enumerate(terms_)}, idf_))
+        return pd.DataFrame({"cols": pd.Series([c for c, _ in rows], dtype=object), "vals": pd.Series([v for _, v in rows], dtype=object)})
+
+    matrix = spread(df.select(text)).select(sparse(X.terms(X.tokens(F.col(text)))).alias("r")).select("r.cols", "r.vals").where(F.size("cols") > 0).persist()
     thin = min(len(words), width + _OVERSAMPLE)
     q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(words), thin)))
 
     def gram_times(block: np.ndarray) -> np.ndarray:
         block_shared = context.broadcast(block)
 
-        def partial(rows):
-            terms_, idf_ = shared.value
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             b = block_shared.value
-            index = {w: i for i, w in enumerate(terms_)}
             total = np.zeros_like(b)
-            for cols, vals in _rows((r["t"] for r in rows), index, idf_):
-                if len(cols):
-                    np.add.at(total, cols, np.outer(vals, vals @ b[cols]))
-            yield total
+            for frame in batches:
+                for start in range(0, len(frame), _DOCUMENT_BLOCK):
+                    _add_gram(total, b, frame["cols"].iloc[start : start + _DOCUMENT_BLOCK], frame["vals"].iloc[start : start + _DOCUMENT_BLOCK])
+            yield pd.DataFrame({"block": [total.tobytes()]})
 
-        return listed.rdd.mapPartitions(partial).treeReduce(lambda a, b: a + b, depth=3)
+        blocks = matrix.mapInPandas(partial, "block binary").rdd.map(lambda r: np.frombuffer(r["block"]).reshape(block.shape))
+        return blocks.treeReduce(lambda x, y: x + y, depth=3)
 
     for _ in range(_POWER_PASSES):
         q, _ = np.linalg.qr(gram_times(q))
     small = q.T @ gram_times(q)
+    matrix.unpersist()
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-values)[:width]
     v = q @ vectors[:, order]
     signs = np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
     return v * np.where(signs == 0, 1, signs)
+
+
+def _add_gram(total: np.ndarray, b: np.ndarray, cols: pd.Series, vals: pd.Series) -> None:
+    """total += R'(R b) for a block of sparse rows R, by sorted segment sums."""
+    lengths = np.array([len(c) for c in cols])
+    if not lengths.size:
+        return
+    col, val = np.concatenate(list(cols)), np.concatenate(list(vals))
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    projected = np.add.reduceat(val[:, None] * b[col], starts, axis=0)
+    spread = val[:, None] * np.repeat(projected, lengths, axis=0)
+    order = np.argsort(col, kind="stable")
+    touched, first = np.unique(col[order], return_index=True)
+    total[touched] += np.add.reduceat(spread[order], first, axis=0)

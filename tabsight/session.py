@@ -52,3 +52,11 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def is_small(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
     return estimated_bytes(df) <= limit
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a small input that arrives in fewer partitions than there are cores; leave any other as it is."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
