@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabsight.functions.columns import named
 
 
+#: Columns measured by one aggregate.
+COLUMNS_PER_AGGREGATE = 64
+
+
 def per_column(
     df: DataFrame,
     columns: Sequence[str],
@@ -17,15 +21,19 @@ def per_column(
 ) -> DataFrame:
     """One aggregate over ``df`` giving one row per column (and per group).
 
-    ``measure(name, column)`` returns named aggregate expressions. All columns are measured in the
-    same job, so the table is scanned once however many columns it has.
+    ``measure(name, column)`` returns named aggregate expressions. Columns are measured together, so the table
+    is scanned once; a very wide table is cut into a few aggregates, each reading only its own columns, so that
+    generated code stays within the JVM's method limits.
     """
-    structs = [
-        F.struct(F.lit(name).alias("column"), *[e.alias(k) for k, e in measure(name, named(name)).items()])
-        for name in columns
-    ]
-    wide = df.groupBy(*by).agg(F.array(*structs).alias("_rows"))
-    return wide.select(*by, F.inline("_rows"))
+    out = None
+    for start in range(0, len(columns), COLUMNS_PER_AGGREGATE):
+        structs = [
+            F.struct(F.lit(name).alias("column"), *[e.alias(k) for k, e in measure(name, named(name)).items()])
+            for name in columns[start : start + COLUMNS_PER_AGGREGATE]
+        ]
+        part = df.groupBy(*by).agg(F.array(*structs).alias("_rows")).select(*by, F.inline("_rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def unpivot_text(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

@@ -146,7 +146,9 @@ def quantiles(
     only the rows that hold a wanted rank are kept.
     """
     probs = list(probs)
-    if not exact or (is_small(df) if small is None else small):
+    if small is None and exact:
+        small = is_small(df.select(*by, *[named(c) for c in columns]))
+    if not exact or small:
         plist = F.array(*[F.lit(float(p)) for p in probs])
         structs = []
         for c in columns:

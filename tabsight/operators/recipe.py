@@ -20,6 +20,7 @@ from tabsight.operators.ordinal import quantiles
 from tabsight.operators.select import univariate_scores
 from tabsight.operators.strategy import MAX_ONEHOT, ColumnStrategy
 from tabsight.operators.text import TextTopics
+from tabsight.session import pin
 
 MISSING_LABEL = "missing"
 DATETIME_PARTS = ("year", "month", "day", "dayofweek", "hour")
@@ -221,7 +222,8 @@ class Recipe:
                     raise UnfittableColumn(f"{s.column} has more than {MAX_ONEHOT} labels; use frequency encoding")
                 fitted.vocabularies[s.column] = sorted(words)
             elif s.encode == "frequency":
-                fitted.frequencies[s.column] = frequency_table(train, fitted._label(s))
+                # as large as the label set, so it stays a table; written once instead of recounted at every transform
+                fitted.frequencies[s.column] = pin(frequency_table(train, fitted._label(s)))
             elif s.encode == "tfidf":
                 texts = train.select(fitted._label(s).alias("t"))
                 fitted.texts[s.column] = TextTopics.fit(texts, "t", self.topics)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabsight.functions import text as X
-from tabsight.session import spread
+from tabsight.session import pin, spread
 
 # Limits.
 MAX_TERMS = 30_000
@@ -74,7 +74,7 @@ class Tfidf:
     @classmethod
     def fit(cls, df: DataFrame, key: str, text: str, max_terms: int = MAX_TERMS, min_df: int = MIN_DOCUMENTS) -> Tfidf:
         n = df.agg(F.count(F.lit(1)).alias("n"))
-        return cls(key, text, vocabulary(corpus_counts(df, text), n, max_terms, min_df))
+        return cls(key, text, pin(vocabulary(corpus_counts(df, text), n, max_terms, min_df)))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """(key, term, weight), unit length per document. The vocabulary is bounded, so it is broadcast."""

@@ -38,7 +38,7 @@ class Plan:
     cluster: bool = True
     cluster_method: str = "kmeans"
     sample_rows: int | None = None
-    explain_rows: int | None = None
+    explain_rows: int | None = J.EXPLAINED_ROWS
     candidates: Sequence[H.Candidate] | None = None
 
 

@@ -110,7 +110,7 @@ def _(spark, d):
 
 @query("h4_boosted_trees")
 def _(spark, d):
-    return _fit(spark, d, 2, "regression", rounds=20)
+    return _fit(spark, d, 2, "regression")
 
 
 @query(

@@ -93,12 +93,18 @@ def recover_numeric(df: DataFrame, share: float = RECOVERY_SHARE) -> DataFrame:
     return df.select(*[parse_number(F.col(c)).alias(c) if c in chosen else F.col(c) for c in df.columns])
 
 
-def infer_types(df: DataFrame) -> dict[str, str]:
-    """Column types from all values of a text table: long, double, boolean or string."""
+def infer_types(df: DataFrame, share: float = RECOVERY_SHARE) -> dict[str, str]:
+    """Column types from all values of a text table, in one scan: long, double, boolean or string.
+
+    Numeric recovery is part of the same scan: a column with "NA"-like labels is a number when nearly
+    everything else in it is one.
+    """
 
     def measure(_, c):
+        sentinel = c.isin(*NOT_APPLICABLE)
         return {
             "present": F.count(c),
+            "sentinels": F.count_if(sentinel),
             "integers": F.count_if(c.rlike(INTEGER_PATTERN)),
             "numbers": F.count_if(c.rlike(NUMBER_PATTERN)),
             "booleans": F.count_if(c.isin(*BOOLEAN_WORDS)),
@@ -109,10 +115,10 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     if not texts:
         return types
     for row in per_column(df, texts, measure).collect():
-        n = row["present"]
+        n, other = row["present"], row["present"] - row["sentinels"]
         if n and row["integers"] == n:
             types[row["column"]] = "bigint"
-        elif n and row["numbers"] == n:
+        elif (n and row["numbers"] == n) or (row["sentinels"] and other and row["numbers"] / other >= share):
             types[row["column"]] = "double"
         elif n and row["booleans"] == n:
             types[row["column"]] = "boolean"
@@ -150,13 +156,12 @@ def check_usable(df: DataFrame) -> None:
 
 
 def ingest_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Text scan, header check, missing tokens, numeric recovery, types."""
+    """Text scan, header check, missing tokens, then one pass that settles recovery and types."""
     repeated = [row["name"] for row in duplicate_headers(spark, path).collect()]
     if repeated:
         raise UnusableTable(f"duplicate column names: {', '.join(sorted(repeated))}")
     df = map_missing(read_csv(spark, path, multiline))
     check_usable(df)
-    df = recover_numeric(df)
     return apply_schema(df, infer_types(df))
 
 
