@@ -135,6 +135,13 @@ def test_folds_drop_to_the_rarest_class(spark):
     assert G.stratified_folds(lone, "y", 5) == (5, "KFold")
 
 
+def test_sampling_ways_agree(spark):
+    df = spark.range(20000).withColumnRenamed("id", "k")
+    a, b = (sorted(r["k"] for r in G.sample_rows(df, ["k"], 300, small=s).collect()) for s in (True, False))
+    assert a == b and len(a) == 300
+    assert G.sample_rows(df.limit(10), ["k"], 300, small=False).count() == 10
+
+
 def test_kfold_sizes(spark):
     df = spark.range(23).withColumnRenamed("id", "k")
     assert sorted(r["count"] for r in G.kfold(df, ["k"], 5).groupBy("fold").count().collect()) == [4, 4, 5, 5, 5]
