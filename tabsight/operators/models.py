@@ -234,7 +234,7 @@ def cross_validate(
     folds: Sequence[int] | None = None,
     resample: bool = False,
     parallel: int = 4,
-    parallel_folds: int = 2,
+    parallel_folds: int = 4,
     seed: int = 42,
 ) -> tuple[DataFrame, dict[str, str]]:
     """Held-out predictions (model, fold, key, y, pred[, probabilities]) and the error of each failed candidate.
