@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsight.llm import decontaminate, sentencepieces, simhash
+from tabsight.llm import decontaminate, langid, quality, sentencepieces, shards, simhash, urlfilter
 
 #: The tokenizer's model; a parameter of the operator.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -22,17 +22,37 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digest(shards.hilbert_shards(table(spark, sf_dir, "documents")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_language_id": op3_language_id,
+    "op4_quality_rules": op4_quality_rules,
     "op5_sentencepieces": op5_sentencepieces,
+    "op6_url_filter": op6_url_filter,
+    "op9_hilbert_shards": op9_hilbert_shards,
     "op10_simhash": op10_simhash,
 }
 
