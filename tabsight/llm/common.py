@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabsight.session import ensure_checkpoint_dir
@@ -53,7 +54,7 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``column`` holds about ``limit`` bytes at most."""
     start, held = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
         n = n or 0
         if i > start and held + n > limit:
             yield batch.slice(start, i - start)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsight.llm import decontaminate, langid, quality, sentencepieces, shards, simhash, urlfilter
+from tabsight.llm import decontaminate, langid, linededup, pii, quality, sentencepieces, shards, simhash, urlfilter
 
 #: The tokenizer's model; a parameter of the operator.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found)
@@ -38,6 +42,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(shards.hilbert_shards(table(spark, sf_dir, "documents")))
 
@@ -47,11 +55,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sanitise": op1_sanitise,
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_sentencepieces": op5_sentencepieces,
     "op6_url_filter": op6_url_filter,
+    "op7_line_dedup": op7_line_dedup,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_simhash": op10_simhash,
 }
