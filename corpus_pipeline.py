@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsight.llm import decontaminate, sentencepieces, simhash
+from tabsight.llm import decontaminate, linededup, quality, sentencepieces, simhash
 from tabsight.llm.common import shared_path
 from tabsight.llm.queries import PIECE_MODEL, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go; the others lose their failing lines."""
+    return quality.keep_good(docs)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of each group of near-equal lines stays; every document stays, with the lines it has left."""
+    return linededup.drop_lines(docs)
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
     return simhash.keep_one(docs)
@@ -29,8 +39,10 @@ def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("simhash", simhash_stage),
-    ("decontamination", decontamination_stage),
+    ("quality rules", quality_stage),
+    ("line dedup", line_dedup_stage),
+    ("simhash near-dedup", simhash_stage),
+    ("benchmark decontamination", decontamination_stage),
     ("sentencepieces", sentencepiece_stage),
 ]
 
@@ -42,7 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written as Parquet to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = shared_path(spark, f"stage-{name}")
+        path = shared_path(spark, f"stage-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

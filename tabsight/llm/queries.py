@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsight.llm import decontaminate, langid, linededup, pii, quality, sentencepieces, shards, simhash, urlfilter
+from tabsight.llm import decontaminate, langid, linededup, lmscore, pii, quality, sentencepieces, shards, simhash, urlfilter
 
 #: The tokenizer's model; a parameter of the operator.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -46,6 +46,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(shards.hilbert_shards(table(spark, sf_dir, "documents")))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepieces": op5_sentencepieces,
     "op6_url_filter": op6_url_filter,
     "op7_line_dedup": op7_line_dedup,
+    "op8_lm_score": op8_lm_score,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_simhash": op10_simhash,
 }
