@@ -6,10 +6,11 @@ character, in very long words every ``LONG_WORD`` characters). Hashes of the shi
 their shingle sets, and verified links go through a distributed union-find. A pair of similarity 0.8 becomes a candidate
 with probability 0.995.
 
-No group is ever expanded into all its pairs. In a band's bucket every line is compared with the bucket's smallest line;
-after the first union-find the lines that are in a bucket together but still in different components are compared, too. So
-every candidate pair is either verified itself or connected by verified links. Equal lines count once from the first shuffle
-on, whatever their number, and a bucket's smallest line is a grouped minimum.
+No group is ever expanded into all its pairs. In a band's bucket every line is compared with one leader, the line that meets
+the most others over all its bands (among many near copies that is the text they come from). After the first union-find the
+lines that are in a bucket together but still in different components are compared inside a join that puts out links only.
+So every candidate pair is either verified itself or connected by verified links. Equal lines count once from the first
+shuffle on, whatever their number, and a bucket's leader is a grouped maximum.
 
 All steps are DataFrame expressions, grouped aggregates and joins; intermediate tables are staged in the shared folder.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabsight.llm.common import let, links_to_labels, staged
+from tabsight.llm.common import links_to_labels, staged
 
 SHINGLE_CHARS = 12
 LONG_WORD = 16
@@ -28,13 +29,17 @@ BANDS, ROWS = 8, 3
 SLOTS = 1 << 20
 
 #: Scripts whose words have no blanks between them: South-East Asian ones, kana and ideographs.
-UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-鿿"
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF"
 #: One shingle each match: the look-ahead takes its characters, the rest moves on to the next word.
-SHINGLE = rf"(?=(.{{1,{SHINGLE_CHARS}}}))(?:[^\s{UNSPACED}]{{1,{LONG_WORD}}}|\S)\s*"
+SPACED_SHINGLE = rf"(?=(.{{1,{SHINGLE_CHARS}}}))[^ ]{{1,{LONG_WORD}}}+ *+"
+ANY_SHINGLE = rf"(?=(.{{1,{SHINGLE_CHARS}}}))(?:[^ {UNSPACED}]{{1,{LONG_WORD}}}+|[{UNSPACED}]) *+"
 
 
 def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
+    """The shingles of a line. The characters of unspaced scripts have three bytes, so most lines need the short pattern."""
+    few = F.octet_length(line) <= 2 * F.length(line)
+    spaced = F.regexp_extract_all(line, F.lit(SPACED_SHINGLE), F.lit(1))
+    return F.when(few, spaced).otherwise(F.regexp_extract_all(line, F.lit(ANY_SHINGLE), F.lit(1)))
 
 
 def shingle_set(line: Column) -> Column:
@@ -47,7 +52,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     The two hashes are 128 bits that name the line.
     """
     split = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    lines = split.select("doc_id", "no", F.regexp_extract("line", r"(?s)\A\s*(\S.*?)\s*\z", 1).alias("line")).where("line <> ''")
+    lines = split.select("doc_id", "no", F.btrim("line", F.lit(" \t\r\x0b\x0c")).alias("line")).where("line <> ''")
     return lines.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
@@ -57,18 +62,29 @@ def signatures(lines: DataFrame) -> DataFrame:
     The minima are grouped aggregates of exploded shingles, so equal lines already meet in the map-side combine.
     """
     keyed = lines.select("doc_id", "h1", "h2", F.posexplode(shingles(F.col("line"))).alias("p", "s"))
-    parts = keyed.select("doc_id", "h1", "h2", "p", F.xxhash64("s").alias("x"))
-    minima = [F.min(F.hash(F.col("x"), F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
+    parts = keyed.select("doc_id", "h1", "h2", "p", F.hash("s").alias("x0"))
+    for r in range(1, ROWS):
+        parts = parts.select("*", F.hash(f"x{r - 1}").alias(f"x{r}"))
+    # Each row of a band has a hash of its own; a band's constant, with high bits of its own, gives it another order.
+    order = [(b << 28) - (1 << 31) | 0x5BD1E95 * (b + 1) & 0xFFFFFFF for b in range(0, 16, 16 // BANDS)]
+    minima = [F.min(F.col(f"x{r}").bitwiseXOR(F.lit(order[b]))).alias(f"m{b * ROWS + r}") for b in range(BANDS) for r in range(ROWS)]
     found = parts.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count_if(F.col("p") == 0).alias("n"), *minima)
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
     return found.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "n", bands.alias("bands"))
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """(key, id, lead): the lines of every band bucket that holds two or more, with the bucket's smallest line."""
+    """(key, id, n): the lines of every band bucket that holds two or more, with their number."""
     members = signed.select("id", F.explode("bands").alias("key"))
-    crowded = members.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("top")).where("lead < top")
-    return members.join(crowded.select("key", "lead"), "key")
+    crowded = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return members.join(crowded, "key")
+
+
+def stars(members: DataFrame) -> DataFrame:
+    """(a, b): the leader of each bucket with each other line of it."""
+    weights = members.groupBy("id").agg(F.sum("n").alias("w"))
+    leads = members.join(weights, "id").groupBy("key").agg(F.max_by("id", "w").alias("lead"))
+    return members.join(leads, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def sets_of(lines: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
@@ -85,34 +101,34 @@ def sets_of(lines: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
     return text.groupBy("id").agg(F.first(shingle_set(F.col("line"))).alias("s"))
 
 
+def alike(left: Column, right: Column) -> Column:
+    """Whether two shingle sets have a Jaccard similarity of ``SIMILARITY`` or more; unequal sizes rule most pairs out."""
+    small, large = F.least(F.size(left), F.size(right)), F.greatest(F.size(left), F.size(right))
+    common = F.size(F.array_intersect(left, right))
+    return (small >= SIMILARITY * large) & (common * (1 + SIMILARITY) >= SIMILARITY * (small + large))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of ``SIMILARITY`` or more."""
+    """The ``pairs`` (a, b) whose shingle sets are alike."""
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = let(common, lambda n: n >= SIMILARITY * (F.size("sa") + F.size("sb") - n))
-    return both.where(alike).select("a", "b")
+    return both.where(alike(F.col("sa"), F.col("sb"))).select("a", "b")
 
 
 def line_classes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Signatures, and (id, label) of the distinct lines that are in a component of two or more."""
     signed = staged(signatures(lines), "signatures")
     members = staged(buckets(signed), "buckets")
-    stars = staged(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    ids = members.select("id").distinct()
-    sets = staged(sets_of(lines, signed, ids), "sets")
-    labels = staged(links_to_labels(verified(stars, sets), "lines"), "labels")
-    # Pairs that the stars left open: together in a bucket, in different components, and not yet compared.
+    sets = staged(sets_of(lines, signed, members.select("id").distinct()), "sets")
+    labels = staged(links_to_labels(verified(stars(members), sets), "lines"), "labels")
+    # What the stars left open: together in a bucket, in different components.
     placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = staged(placed.join(mixed, "key"), "open")
-    left = open_.select("key", F.col("id").alias("a"), F.col("label").alias("la"))
-    right = open_.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
-    pairs = left.join(right, "key").where("la <> lb and a < b").select("a", "b", "la", "lb").distinct().join(stars, ["a", "b"], "left_anti")
-    pairs = staged(pairs, "pairs")
-    more = verified(pairs.select("a", "b"), sets).join(pairs, ["a", "b"])
-    joined = links_to_labels(more.select(F.col("la").alias("a"), F.col("lb").alias("b")), "components")
-    moved = joined.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    open_ = staged(placed.join(mixed, "key").join(sets, "id"), "open")
+    left = open_.select("key", F.col("label").alias("a"), F.col("s").alias("sa"))
+    right = open_.select("key", F.col("label").alias("b"), F.col("s").alias("sb"))
+    more = left.join(right, "key").where((F.col("a") < F.col("b")) & alike(F.col("sa"), F.col("sb"))).select("a", "b")
+    moved = links_to_labels(more, "components").select(F.col("node").alias("label"), F.col("label").alias("top"))
     first = labels.unionAll(moved.select(F.col("label").alias("node"), "label")).distinct()
     final = first.join(moved, "label", "left").select(F.col("node").alias("id"), F.coalesce("top", "label").alias("label"))
     return signed, staged(final, "classes")
