@@ -96,20 +96,22 @@ def terms(text: Column, spans: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(masked), F.lit(TERM), F.lit(0)))
 
 
-def disclosing_terms(docs: DataFrame, least_joint: int = LEAST_JOINT) -> DataFrame:
-    """(h, kind, share): hashed words that disclose at least ``GENERALISE_FROM`` of an entity kind, over all documents."""
-    spans = docs.select("text", base_spans(F.col("text")).alias("spans"))
-    flags = [F.exists("spans", lambda x: x["kind"] == kind).cast("long").alias(f"has_{kind}") for kind in KINDS]  # noqa: B023
-    rows = spans.select(*flags, terms(F.col("text"), F.col("spans")).alias("terms"))
-    words = rows.select(*[f"has_{k}" for k in KINDS], F.explode("terms").alias("term"))
+def disclosing_terms(found: DataFrame, least_joint: int = LEAST_JOINT) -> DataFrame:
+    """(h, kind, share): hashed words that disclose at least ``GENERALISE_FROM`` of an entity kind.
+
+    ``found`` (text, base) are all documents; the totals of documents and of those with each kind are one row.
+    """
+    flags = [F.exists("base", lambda x: x["kind"] == kind).cast("long").alias(f"has_{kind}") for kind in KINDS]  # noqa: B023
+    totals = found.select(*flags).agg(F.count("*").alias("docs"), *[F.sum(f"has_{k}").alias(f"all_{k}") for k in KINDS]).first()
+    rows = found.select(*flags, F.explode(terms(F.col("text"), F.col("base"))).alias("term"))
     held = [F.sum(f"has_{k}").alias(f"n_{k}") for k in KINDS]
-    counts = words.groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("n"), *held)
+    counts = rows.groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("n"), *held)
     counts = counts.where(F.greatest(*[f"n_{k}" for k in KINDS]) >= least_joint)
-    totals = staged(docs.select(base_spans(F.col("text")).alias("spans")).select(*flags).agg(F.count("*").alias("docs"), *[F.sum(f"has_{k}").alias(f"all_{k}") for k in KINDS]), "totals")
-    shares = counts.crossJoin(F.broadcast(totals))  # the totals are one row
+    shares = counts.withColumns({c: F.lit(totals[c] or 0) for c in totals.asDict()})
     by_kind = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"n_{k}").alias("joint"), F.col(f"all_{k}").alias("all")) for k in KINDS])
     long = shares.select("h", "n", "docs", F.inline(by_kind)).where((F.col("joint") >= least_joint) & (F.col("all") < F.col("docs")))
-    share = F.log(F.col("joint") * F.col("docs") / (F.col("n") * F.col("all"))) / -F.log(F.col("all") / F.col("docs"))
+    joint = F.try_divide(F.col("joint") * F.col("docs"), F.col("n") * F.col("all"))
+    share = F.try_divide(F.log(joint), -F.log(F.try_divide("all", "docs")))
     return long.select("h", "kind", share.alias("share")).where(F.col("share") >= GENERALISE_FROM)
 
 
@@ -127,7 +129,7 @@ def found_spans(docs: DataFrame, least_joint: int = LEAST_JOINT) -> DataFrame:
     found = docs.select(row.alias("_row"), F.col("text").alias("text"), base_spans(F.col("text")).alias("base"))
     found = staged(found.withColumn("_id", F.monotonically_increasing_id()), "entities")
     with_entity = found.where(F.size("base") > 0)
-    flagged = staged(disclosing_terms(docs.select("text"), least_joint), "terms")
+    flagged = staged(disclosing_terms(found.select("text", "base"), least_joint), "terms")
     kinds = F.array_distinct(F.transform("base", lambda x: x["kind"]))
     words = with_entity.select("_id", kinds.alias("kinds"), F.explode(terms(F.col("text"), F.col("base"))).alias("term"))
     hits = words.withColumn("h", F.xxhash64("term")).join(flagged, "h").where(F.array_contains("kinds", F.col("kind")))
