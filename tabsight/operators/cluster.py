@@ -23,7 +23,6 @@ from tabsight.operators.strategy import ColumnStrategy
 
 # Limits and thresholds.
 MAX_LABELS = 30
-SAMPLE_ROWS = 5000
 K_MIN, K_MAX = 2, 8
 ROWS_PER_CLUSTER = 5
 DISTINCTIVE_Z = 0.5
@@ -55,7 +54,7 @@ def choose_method(requested: str, categorical: Sequence[str]) -> tuple[str, bool
     return method, method != requested
 
 
-def cluster_sample(df: DataFrame, key: str, n: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
+def cluster_sample(df: DataFrame, key: str, n: int = 5000, seed: int = 42) -> DataFrame:
     return sample_rows(df, [key], n, seed)
 
 
@@ -163,52 +162,82 @@ def silhouette_fast(df: DataFrame, features: str = "features", cluster: str = "c
     return ClusteringEvaluator(featuresCol=features, predictionCol=cluster).evaluate(df)
 
 
-def silhouette(df: DataFrame, features: str = "features", cluster: str = "cluster", key: str = "key", limit: int = SAMPLE_ROWS) -> DataFrame:
-    """(key, cluster, silhouette) with true Euclid over a sample of at most ``limit`` rows.
+def silhouette(df: DataFrame, features: str = "features", cluster: str = "cluster", key: str = "key") -> DataFrame:
+    """(key, cluster, silhouette) of every row, by squared Euclid.
 
-    The sample has a fixed bound, so it is broadcast; each task compares its own rows against it.
+    The mean squared distance from x to a group is |x - m|^2 plus the group's own mean squared distance from its centre m, so
+    one aggregate of a row a group replaces all pairs. A row alone in its group, or all rows in one group, have silhouette 0.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(cluster).cast("int").alias("cluster"), F.col(features).alias("x"))
+    width = (rows.select(F.size("x").alias("w")).first() or {"w": 0})["w"]
+    means = [F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(width)]
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, t: a + t * t)
+    groups = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(square(F.col("x"))).alias("q"), *means).collect()
+    if len(groups) < 2:
+        return rows.select("key", "cluster", F.lit(0.0).alias("silhouette"))
+    mean_gap = {}
+    for g in groups:
+        centre = [g[f"m{i}"] for i in range(width)]
+        spread = g["q"] - sum(m * m for m in centre)
+        gaps = F.zip_with("x", F.array(*[F.lit(float(m)) for m in centre]), lambda t, m: t - m)
+        mean_gap[g["cluster"]] = (g["n"], square(gaps) + F.lit(float(spread)))
+    inside = F.lit(None).cast("double")
+    for c, (n, gap) in mean_gap.items():
+        inside = F.when(F.col("cluster") == c, gap * (n / (n - 1)) if n > 1 else F.lit(None).cast("double")).otherwise(inside)
+    outside = F.least(*[F.when(F.col("cluster") != c, gap) for c, (_, gap) in mean_gap.items()]) if len(mean_gap) > 1 else F.lit(None)
+    both = rows.select("key", "cluster", inside.alias("inside"), outside.alias("outside"))
+    value = F.try_divide(F.col("outside") - F.col("inside"), F.greatest("inside", "outside"))
+    return both.select("key", "cluster", F.coalesce(value, F.lit(0.0)).alias("silhouette"))
+
+
+def silhouette_of_sample(df: DataFrame, rows: int, features: str = "features", cluster: str = "cluster", key: str = "key") -> DataFrame:
+    """(key, cluster, silhouette, sample_rows) by true Euclid, over a sample of ``rows`` rows that the caller asks for.
+
+    Each task compares its part of the sample with the whole, whose size the caller bounds; ``sample_rows`` names it.
     """
-    spark = df.sparkSession
     sample = df.select(F.col(key).alias("key"), F.col(cluster).cast("int").alias("cluster"), F.col(features).alias("x"))
-    sample = sample_rows(sample, ["key"], limit)
-    rows = sample.collect()
-    points = np.array([r["x"] for r in rows], dtype=float)
-    labels = np.array([r["cluster"] for r in rows])
-    shared = spark.sparkContext.broadcast((points, labels))
+    picked = sample_rows(sample, ["key"], rows).persist()
+    held = picked.select("cluster", "x").collect()
+    points, labels = np.array([r["x"] for r in held], dtype=float), np.array([r["cluster"] for r in held])
+    shared = df.sparkSession.sparkContext.broadcast((points, labels))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         points, labels = shared.value
-        names = np.unique(labels)
-        sizes = {c: int((labels == c).sum()) for c in names}
+        names, own = np.unique(labels, return_inverse=True) if len(labels) else (labels, labels)
+        member = np.eye(len(names))[own] if len(labels) else np.zeros((0, 0))
+        sizes = member.sum(axis=0)
         for b in batches:
-            out = []
-            for own, x in zip(b["cluster"].to_numpy(), b["x"]):
-                d = np.sqrt(((points - np.asarray(x)) ** 2).sum(1))
-                if sizes[own] < 2 or len(names) < 2:
-                    out.append(0.0)
-                    continue
-                inside = d[labels == own].sum() / (sizes[own] - 1)
-                outside = min(d[labels == c].mean() for c in names if c != own)
-                out.append((outside - inside) / max(inside, outside) if max(inside, outside) > 0 else 0.0)
-            yield pd.DataFrame({"key": b["key"], "cluster": b["cluster"], "silhouette": out})
-
-    spread = spark.createDataFrame(rows, sample.schema)
-    return spread.mapInPandas(measure, "key long, cluster int, silhouette double")
-
-
-def select_k(df: DataFrame, key: str, fit, k_min: int = K_MIN, k_max: int = K_MAX, sample: int = SAMPLE_ROWS) -> tuple[int, dict[int, float]]:
-    """The k whose labels separate a bounded sample best. ``fit(frame, k)`` returns (key, cluster, features)."""
-    picked = sample_rows(df, [key], sample).persist()
-    n = picked.count()
+            if not len(b):
+                continue
+            x = np.vstack(b["x"].to_numpy())
+            square = (x**2).sum(1)[:, None] + (points**2).sum(1)[None, :] - 2 * x @ points.T
+            total = np.sqrt(np.maximum(square, 0)) @ member
+            at = np.searchsorted(names, b["cluster"].to_numpy())
+            row = np.arange(len(b))
+            inside = total[row, at] / np.maximum(sizes[at] - 1, 1)
+            mean = total / sizes
+            mean[row, at] = np.inf
+            outside = mean.min(axis=1)
+            top = np.maximum(inside, outside)
+            good = (sizes[at] > 1) & np.isfinite(outside) & (top > 0)
+            value = np.where(good, (np.where(good, outside, 0) - inside) / np.where(good, top, 1), 0.0)
+            yield pd.DataFrame({"key": b["key"], "cluster": b["cluster"], "silhouette": value, "sample_rows": len(points)})
+
+    kind = picked.schema["key"].dataType.simpleString()
+    return picked.mapInPandas(measure, f"key {kind}, cluster int, silhouette double, sample_rows long")
+
+
+def select_k(df: DataFrame, key: str, fit, k_min: int = K_MIN, k_max: int = K_MAX) -> tuple[int | None, dict[int, float]]:
+    """The k whose labels separate all rows best, or None with too few rows. ``fit(frame, k)`` returns (key, cluster, features)."""
+    n = df.count()
     scores = {}
     for k in range(k_min, min(k_max, n // ROWS_PER_CLUSTER) + 1):
-        labelled = fit(picked, k)
-        if labelled.select("cluster").distinct().count() < 2:
-            continue
-        scores[k] = silhouette(labelled, "features", "cluster", key).agg(F.avg("silhouette")).first()[0]
-    picked.unpersist()
+        labelled = fit(df, k).persist()
+        if labelled.select("cluster").distinct().count() > 1:
+            scores[k] = silhouette(labelled, "features", "cluster", key).agg(F.avg("silhouette")).first()[0]
+        labelled.unpersist()
     if not scores:
-        return k_min, {}
+        return None, {}
     return max(scores, key=lambda k: (scores[k], -k)), scores
 
 
@@ -278,12 +307,12 @@ def cluster_centres(scatter: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 
 def cluster_table(df: DataFrame, key: str, target: str | None = None, requested: str = "kmeans", seed: int = 42) -> dict[str, object]:
-    """Choose columns, method and k on a bounded sample, fit, and describe the groups over all rows."""
+    """Choose columns, method and k, fit, and describe the groups, all over all rows."""
     rows = cluster_columns(df.drop(key), target).where("eligible").collect()
     numeric = [r["column"] for r in rows if r["kind"] == "numeric"]
     categorical = [r["column"] for r in rows if r["kind"] == "categorical"]
     if not rows:
-        return {"skipped": "no columns suitable for clustering"}
+        return {"skipped": "the table has neither numbers nor short labels to group by"}
     method, overridden = choose_method(requested, categorical)
     prepared = prepare_matrix(df, numeric, categorical)
     labels = [F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(c) for c in categorical]
@@ -301,11 +330,14 @@ def cluster_table(df: DataFrame, key: str, target: str | None = None, requested:
     else:
 
         def fit(frame, k):
-            return kmeans(frame, k, seed, starts=3).transform(frame).select(key, "cluster", vector_to_array("features").alias("features"))
+            return kmeans(frame, k, seed).transform(frame).select(key, "cluster", vector_to_array("features").alias("features"))
 
         base = everything
     base = base.persist()
     k, scores = select_k(base, key, fit)
+    if k is None:
+        base.unpersist()
+        return {"skipped": f"grouping needs at least {K_MIN * ROWS_PER_CLUSTER} rows"}
     labelled = fit(base, k).select(key, "cluster")
     profiles = profile_clusters(df.join(labelled, key), "cluster", numeric, categorical)
     best = scores.get(k, 0.0)

@@ -16,7 +16,6 @@ TOP_VALUES = 10
 TOP_CORRELATIONS = 10
 MIN_CORRELATION = 0.1
 HEATMAP_COLUMNS = 25
-CHART_COLUMNS = 12
 MIN_BINS, MAX_BINS = 5, 40
 IMBALANCE_RATIO = 1.5
 
@@ -76,7 +75,7 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: b
 
 def boxplot_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Quartiles, whiskers (the most extreme values inside the fences) and the number of fliers."""
-    columns = list(columns or numeric_columns(df))[:CHART_COLUMNS]
+    columns = list(columns or numeric_columns(df))
     fences = {row["column"]: row for row in _fence_literals(df, columns, exact)}
 
     def measure(name, c):
@@ -293,7 +292,7 @@ def eda(df: DataFrame, target: str, task: str) -> dict[str, DataFrame]:
     """All EDA tables of one dataset. Fails if a step changed the columns it describes."""
     before = df.columns
     numeric = numeric_columns(df)
-    features = [c for c in numeric if c != target][:CHART_COLUMNS]
+    features = [c for c in numeric if c != target]
     reports = {
         "columns": describe_columns(df),
         "missingness": missingness(df),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabsight.functions.columns import pearson
 from tabsight.functions.frames import per_column
@@ -21,9 +21,17 @@ def anova_f(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     n, classes = F.sum("n").cast("double"), F.count(F.lit(1)).cast("double")
     overall = parts.groupBy("column").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("overall"))
     joined = parts.join(F.broadcast(overall), "column")
-    between = F.sum(F.col("n") * F.pow(F.col("mean") - F.col("overall"), 2)) / F.nullif(classes - 1, F.lit(0.0))
+    # Equal means differ by rounding only.
+    gap = F.col("mean") - F.col("overall")
+    gap = F.when(F.abs(gap) <= 1e-12 * F.abs("overall"), 0.0).otherwise(gap)
+    between = F.sum(F.col("n") * F.pow(gap, 2)) / F.nullif(classes - 1, F.lit(0.0))
     within = F.sum(F.col("n") * F.col("var")) / F.nullif(n - classes, F.lit(0.0))
-    return joined.groupBy("column").agg(F.try_divide(between, within).alias("f"))
+    return joined.groupBy("column").agg(_ratio(between, within).alias("f"))
+
+
+def _ratio(explained: Column, rest: Column) -> Column:
+    """explained / rest; infinite where nothing is left to explain, null where there was nothing at all."""
+    return F.when((rest <= 0) & (explained > 0), float("inf")).otherwise(F.try_divide(explained, rest))
 
 
 def regression_f(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
@@ -33,7 +41,9 @@ def regression_f(df: DataFrame, columns: Sequence[str], target: str) -> DataFram
         df, [c for c in columns], lambda _, c: {"r": pearson(c.cast("double"), y), "n": F.count_if(c.isNotNull() & y.isNotNull())}
     )
     r2 = F.col("r") * F.col("r")
-    return base.select("column", F.try_divide(r2 * (F.col("n") - 2), 1 - r2).alias("f"))
+    # A correlation of one is computed up to rounding.
+    rest = F.when(1 - r2 < 1e-12, 0.0).otherwise(1 - r2)
+    return base.select("column", _ratio(r2 * (F.col("n") - 2), rest).alias("f"))
 
 
 def univariate_scores(df: DataFrame, columns: Sequence[str], target: str, task: str) -> DataFrame:

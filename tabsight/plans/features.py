@@ -265,6 +265,28 @@ def _(spark, d):
     return numbers(L.anova_f(table(spark, d, "lineitem"), _FCOLS, "l_returnflag"), 5)
 
 
+_CODED = "CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 2.0 ELSE 3.0 END"
+
+
+@query(
+    "f21_perfect_predictors",
+    f"""SELECT 'classification' AS task, 'perfect' AS "column", true AS infinite, NULL AS f UNION ALL SELECT 'classification', 'constant', false, NULL
+    UNION ALL SELECT 'classification', "column", false, f FROM ({_anova('l_tax', 'l_returnflag', 'lineitem')})
+    UNION ALL SELECT 'regression', 'perfect', true, NULL UNION ALL SELECT 'regression', 'constant', false, NULL
+    UNION ALL SELECT 'regression', 'l_tax', false, {r('corr(l_tax, l_quantity) ** 2 * (count(*) - 2) / (1 - corr(l_tax, l_quantity) ** 2)', 5)} FROM lineitem""",
+)
+def _(spark, d):
+    line = table(spark, d, "lineitem").withColumn("constant", F.lit(7.0))
+    coded = line.withColumn("perfect", F.expr(_CODED).cast("double"))
+    scaled = line.withColumn("perfect", 3 - 2 * F.col("l_quantity"))
+    columns = ["perfect", "constant", "l_tax"]
+    both = L.anova_f(coded, columns, "l_returnflag").withColumn("task", F.lit("classification")).unionByName(
+        L.regression_f(scaled, columns, "l_quantity").withColumn("task", F.lit("regression"))
+    )
+    infinite = F.coalesce(F.col("f") == float("inf"), F.lit(False))
+    return both.select("task", "column", infinite.alias("infinite"), rounded(F.when(~infinite, F.col("f")), 5).alias("f"))
+
+
 @query(
     "f21_select_k_best",
     "SELECT * FROM ("

@@ -55,7 +55,7 @@ def _vectors(spark, d):
 @query("e4_kmeans")
 def _(spark, d):
     vectors = _vectors(spark, d).persist()
-    return E.kmeans(vectors, 5, starts=2).transform(vectors).select("vec_id", F.col("cluster").cast("long").alias("cluster"))
+    return E.kmeans(vectors, 5).transform(vectors).select("vec_id", F.col("cluster").cast("long").alias("cluster"))
 
 
 @query("e5_kprototypes")
@@ -63,7 +63,7 @@ def _(spark, d):
     part = _mixed(spark, d)
     prepared = E.prepare_matrix(part, ["p_size", "p_retailprice"], [])
     scaled = prepared.encode(part, ["p_partkey", "p_type"]).persist()
-    model = E.kprototypes(scaled, ["p_size", "p_retailprice"], ["p_type"], 4, "p_partkey", starts=2, max_iter=20)
+    model = E.kprototypes(scaled, ["p_size", "p_retailprice"], ["p_type"], 4, "p_partkey")
     return model.assign(scaled).select("p_partkey", F.col("cluster").cast("long").alias("cluster"), rounded(F.col("cost")).alias("cost"))
 
 
@@ -72,25 +72,41 @@ def _(spark, d):
     vectors = _vectors(spark, d)
 
     def fit(frame, k):
-        return E.kmeans(frame, k, starts=1).transform(frame).select("vec_id", "cluster", vector_to_array("features").alias("features"))
+        return E.kmeans(frame, k).transform(frame).select("vec_id", "cluster", vector_to_array("features").alias("features"))
 
     best, scores = E.select_k(vectors, "vec_id", fit)
     shown = spark.createDataFrame([(k, v) for k, v in scores.items()], "k long, silhouette double")
     return shown.withColumn("chosen", F.col("k") == best)
 
 
-@query(
-    "e7_silhouette",
-    f"""WITH p AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2))))) AS total, count(*) AS n
-    FROM embeddings a, embeddings b GROUP BY ALL), s AS (SELECT vec_id, own, max(CASE WHEN own = other THEN total / (n - 1) END) AS inside, min(CASE WHEN own <> other THEN total / n END) AS outside FROM p GROUP BY ALL)
-    SELECT own AS cluster, count(*) AS n, {r('avg((outside - inside) / greatest(inside, outside))', 5)} AS silhouette FROM s GROUP BY own""",
-)
+def _silhouette_sql(distance: str, rows: str) -> str:
+    """Mean distances over all pairs, one row a pair."""
+    return f"""WITH v AS ({rows}), p AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum({distance}) AS total, count(*) AS n
+    FROM v a, v b GROUP BY ALL), s AS (SELECT vec_id, own, max(CASE WHEN own = other THEN total / (n - 1) END) AS inside, min(CASE WHEN own <> other THEN total / n END) AS outside FROM p GROUP BY ALL)
+    SELECT own AS cluster, count(*) AS n, {r('avg((outside - inside) / greatest(inside, outside))', 5)} AS silhouette"""
+
+
+_SQUARE = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))"
+
+
+@query("e7_silhouette", _silhouette_sql(_SQUARE, "SELECT vec_id, label, embedding FROM embeddings") + " FROM s GROUP BY own")
 def _(spark, d):
     vectors = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
     each = E.silhouette(vectors, "x", "label", "vec_id")
     return each.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("silhouette"), 5).alias("silhouette"))
 
 
+@query(
+    "e7_silhouette_of_sample",
+    _silhouette_sql(f"sqrt({_SQUARE})", "SELECT vec_id, label, embedding FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42') LIMIT 400")
+    + ", 400 AS sample_rows FROM s GROUP BY own",
+)
+def _(spark, d):
+    vectors = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    each = E.silhouette_of_sample(vectors, 400, "x", "label", "vec_id")
+    return each.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("silhouette"), 5).alias("silhouette"), F.max("sample_rows").alias("sample_rows"))
+
+
 @query(
     "e8_profile_vectors",
     f"""WITH u AS (SELECT label AS cluster, 'e' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') AS feature, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
