@@ -151,15 +151,18 @@ def clean(
     drop_duplicates: bool = True,
     drop_high_null: bool = True,
     max_null_rate: float = MAX_NULL_RATE,
+    key: str | None = None,
 ) -> Cleaned:
     """All cleaning steps in order, with a (step, n) table of what each removed.
 
     Row counts of the filters come from one aggregate over the input; duplicates need the two counts
-    around them. Column verdicts are read on the driver, one small row per column.
+    around them. Column verdicts are read on the driver, one small row per column. ``key`` names a column that identifies
+    rows: it is kept and never judged, and of rows that differ only in it the one with the smallest key stays.
     """
     if target not in df.columns:
         raise NothingLeft(f"target column {target!r} is not in the table")
-    before_columns = len(df.columns)
+    bare = (lambda t: t.drop(key)) if key else (lambda t: t)
+    before_columns = len(bare(df).columns)
     dropped = [(c, "excluded") for c in excluded if c in df.columns and c != target]
     work = drop_excluded(df, excluded, target)
     number = _as_number(work, target)
@@ -183,11 +186,13 @@ def clean(
     else:
         measured = measured.withColumn("nonfinite_target", F.lit(0).cast("long"))
     rows_in = work.agg(F.count(F.lit(1)).alias("n"))
-    if drop_duplicates:
+    if drop_duplicates and key:
+        work = work.groupBy(*bare(work).columns).agg(F.min(key).alias(key)).select(*work.columns)
+    elif drop_duplicates:
         work = drop_duplicate_rows(work)
     rows_out = work.agg(F.count(F.lit(1)).alias("n"))
     corrected = {}
-    evidence = coercion_evidence(work, semantics or {}, target, task)
+    evidence = coercion_evidence(bare(work), semantics or {}, target, task)
     for row in evidence.where("accepted").collect():
         corrected[row["column"]] = row["to_type"]
     work = work.select(
@@ -196,7 +201,7 @@ def clean(
             for c in work.columns
         ]
     )
-    verdicts = column_verdicts(work, target, max_null_rate).where(F.col("reason").isNotNull()).collect()
+    verdicts = column_verdicts(bare(work), target, max_null_rate).where(F.col("reason").isNotNull()).collect()
     gone = [(v["column"], v["reason"]) for v in verdicts if v["reason"] == "constant" or drop_high_null]
     dropped += gone
     work = work.drop(*[c for c, _ in gone])
@@ -219,11 +224,11 @@ def clean(
                     F.array(
                         *[
                             F.struct(F.lit(s).alias("step"), F.lit(v).cast("long").alias("n"))
-                            for s, v in (("trimmed_target", trimmed), ("columns_before", before_columns), ("columns_after", len(work.columns)))
+                            for s, v in (("trimmed_target", trimmed), ("columns_before", before_columns), ("columns_after", len(bare(work).columns)))
                         ]
                     )
                 )
             )
         )
     )
-    return Cleaned(work, steps, dropped, corrected, tail, missing_report(work))
+    return Cleaned(work, steps, dropped, corrected, tail, missing_report(bare(work)))

@@ -22,6 +22,8 @@ DEAD_BAND = 0.3
 DEPENDENCE_VALUES = 8
 TOLERANCE = 1e-3
 EXPLAINED_ROWS = 500
+#: Leaves with so many features at most get a table of all patterns, worked out for many leaves at once.
+TABLE_DEPTH = 10
 
 
 # ---- linear models -------------------------------------------------------------------------------
@@ -89,35 +91,68 @@ def _shapley_weights(d: int) -> np.ndarray:
     return np.array([factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)])
 
 
-def _path_phi(x: np.ndarray, paths, width: int) -> tuple[np.ndarray, float]:
-    """Path-dependent Shapley values of a batch. For one leaf the game is a product over its features, so the
-    coalition sums are coefficients of a polynomial in the number of present features."""
-    phi = np.zeros((len(x), width))
-    base = 0.0
+def _pattern_phi(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Shapley values of leaves of value 1: ``zero`` (leaves, d) fractions, ``one`` (patterns, d) of met conditions.
+
+    A leaf's game is a product over its features, so the coalition sums are the coefficients of the product of all factors
+    (zero + one t); a feature's own factor is divided out again, which leaves the coalitions without it.
+    """
+    leaves, d = zero.shape
+    z, o = zero[:, None, :], one[None, :, :]
+    product = np.zeros((leaves, len(one), d + 1))
+    product[:, :, 0] = 1.0
+    for i in range(d):
+        moved = product[:, :, :-1] * o[:, :, i, None]
+        product *= z[:, :, i, None]
+        product[:, :, 1:] += moved
+    weights = _shapley_weights(d)
+    phi = np.empty((leaves, len(one), d))
+    for j in range(d):
+        with_j = o[:, :, j] > 0
+        total = np.zeros((leaves, len(one)))
+        rest = np.zeros((leaves, len(one)))
+        for k in range(d - 1, -1, -1):
+            rest = np.where(with_j, product[:, :, k + 1] - z[:, :, j] * rest, product[:, :, k] / np.maximum(z[:, :, j], 1e-300))
+            total += weights[k] * rest
+        phi[:, :, j] = (o[:, :, j] - z[:, :, j]) * total
+    return phi
+
+
+def _leaf_groups(paths) -> tuple[float, dict[int, tuple[np.ndarray, ...]]]:
+    """The base value, and the leaves by number of features: values, features, zero fractions, and bounds (low, high]."""
+    base, groups = 0.0, {}
     for value, parts in paths:
-        d = len(parts)
-        zero = np.array([z for _, z, _ in parts])
-        base += value * float(np.prod(zero)) if d else value
-        if not d:
-            continue
-        one = np.empty((len(x), d))
-        for j, (f, _, rules) in enumerate(parts):
-            ok = np.ones(len(x), dtype=bool)
-            for threshold, left in rules:
-                ok &= (x[:, f] <= threshold) if left else (x[:, f] > threshold)
-            one[:, j] = ok
-        weights = _shapley_weights(d)
-        for j in range(d):
-            poly = np.zeros((len(x), d))
-            poly[:, 0] = 1.0
-            for i in range(d):
-                if i == j:
-                    continue
-                shifted = np.zeros_like(poly)
-                shifted[:, 1:] = poly[:, :-1] * one[:, [i]]
-                poly = poly * zero[i] + shifted
-            phi[:, parts[j][0]] += value * (one[:, j] - zero[j]) * (poly @ weights)
-    return phi, base
+        base += value * float(np.prod([z for _, z, _ in parts]))
+        if parts:
+            low = [max([t for t, left in rules if not left], default=-np.inf) for _, _, rules in parts]
+            high = [min([t for t, left in rules if left], default=np.inf) for _, _, rules in parts]
+            groups.setdefault(len(parts), []).append((value, [f for f, _, _ in parts], [z for _, z, _ in parts], low, high))
+    return base, {d: tuple(np.array([leaf[i] for leaf in g]) for i in range(5)) for d, g in groups.items()}
+
+
+def _path_phi(x: np.ndarray, paths, width: int) -> tuple[np.ndarray, float]:
+    """Path-dependent Shapley values of a batch. A row meets some of a leaf's conditions; the values of each such pattern are
+    worked out once for a leaf and looked up for the rows."""
+    base, groups = _leaf_groups(paths)
+    phi = np.zeros((width, len(x)))
+    columns = np.ascontiguousarray(x.T)
+    for d, (values, features, zero, low, high) in groups.items():
+        every = (np.arange(1 << min(d, TABLE_DEPTH))[:, None] >> np.arange(d) & 1).astype(float)
+        step = max(1, (1 << 20) // (len(every) * (d + 1)))
+        for start in range(0, len(values), step):
+            table = _pattern_phi(zero[start : start + step], every) if d <= TABLE_DEPTH else None
+            for i in range(start, min(start + step, len(values))):
+                pattern = np.zeros(len(x), np.int64)
+                for j, f in enumerate(features[i]):
+                    pattern |= ((columns[f] > low[i, j]) & (columns[f] <= high[i, j])).astype(np.int64) << j
+                if table is not None:
+                    own = table[i - start]
+                else:
+                    met, pattern = np.unique(pattern, return_inverse=True)
+                    own = _pattern_phi(zero[i : i + 1], (met[:, None] >> np.arange(d) & 1).astype(float))[0]
+                for j, f in enumerate(features[i]):
+                    phi[f] += values[i] * own[pattern, j]
+    return phi.T, base
 
 
 def tree_shap(model, encoded: DataFrame, width: int, keep: Sequence[str], output: int = 0, features: str = "features") -> DataFrame:
@@ -193,13 +228,9 @@ def direction(values: DataFrame, columns: Sequence[str]) -> DataFrame:
 def representative_rows(predictions: DataFrame, key: str, task: str, classes: Sequence[str] = ()) -> DataFrame:
     """(reason, key): the surest row of each class, or the highest, lowest and middle prediction."""
     if task == "classification":
-        rows = F.array(
-            *[
-                F.struct(F.lit(c).alias("reason"), F.max(F.struct(F.col("probabilities")[i].alias("p"), (-F.col(key)).alias("k"))).alias("m"))
-                for i, c in enumerate(classes)
-            ]
-        )
-        return predictions.agg(rows.alias("_rows")).select(F.inline("_rows")).select("reason", (-F.col("m.k")).alias(key))
+        shown = F.array(*[F.struct(F.lit(c).alias("reason"), F.col("probabilities")[i].alias("p")) for i, c in enumerate(classes)])
+        first = predictions.select(key, F.inline(shown)).groupBy("reason", "p").agg(F.min(key).alias("k"))
+        return first.groupBy("reason").agg(F.max_by("k", "p").alias(key))
     n = predictions.agg(F.count(F.lit(1)).alias("_n"), F.lit(1).alias("_k"))
     placed = ordinal(predictions.select(key, "pred"), ["pred", key], name="_i").withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k")
     reason = (

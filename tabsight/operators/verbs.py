@@ -209,8 +209,8 @@ def nsmallest(df: DataFrame, column: str, key: Sequence[str], n: int = 5) -> Dat
 
 def idxmax(df: DataFrame, column: str, key: str) -> DataFrame:
     """Key of the largest value; the smallest key wins a tie."""
-    top = F.max(F.struct(F.col(column).alias("v"), (-F.col(key)).alias("k")))
-    return df.where(F.col(column).isNotNull()).agg((-top["k"]).alias("idxmax"))
+    first = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.min(key).alias("k"))
+    return first.agg(F.max_by("k", "v").alias("idxmax"))
 
 
 def idxmin(df: DataFrame, column: str, key: str) -> DataFrame:

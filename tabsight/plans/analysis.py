@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -38,7 +39,7 @@ class Plan:
     cluster: bool = True
     cluster_method: str = "kmeans"
     sample_rows: int | None = None
-    explain_rows: int | None = J.EXPLAINED_ROWS
+    explain_rows: int | None = None
     candidates: Sequence[H.Candidate] | None = None
 
 
@@ -154,12 +155,7 @@ def analyse(df: DataFrame, key: str, target: str | None = None, task: str | None
 
 def clean_keyed(df: DataFrame, key: str, target: str, task: str, semantics: dict[str, str], excluded: Sequence[str], trim: bool = False) -> C.Cleaned:
     """``clean`` for a table with a key: two rows that differ only in the key are copies, and the smaller key stays."""
-    features = [c for c in df.columns if c != key and (c not in excluded or c == target)]
-    unique = df.groupBy(*features).agg(F.min(key).alias(key))
-    report = C.clean(df.drop(key), target, task, semantics, excluded, trim)
-    kept = C.clean(unique, target, task, semantics, [], trim, drop_duplicates=False)
-    wanted = [key, *report.df.columns]
-    return C.Cleaned(kept.df.select(*wanted), report.steps, report.dropped, report.corrected, report.tail, report.remaining)
+    return C.clean(df, target, task, semantics, excluded, trim, key=key)
 
 
 def _folds(df: DataFrame, key: str, target: str, task: str, plan: Plan, notes: list[str]) -> tuple[DataFrame, str]:
@@ -190,31 +186,46 @@ def _explain(model: H.FittedModel, rows: DataFrame, key: str, target: str, task:
         rows = G.stratified_sample(rows, [key], target, plan.explain_rows) if task == "classification" else G.sample_rows(rows, [key], plan.explain_rows)
     names = model.recipe.names
     lineage = model.recipe.lineage_table(rows.sparkSession)
-    inner = model.model
+    parts = [phi.persist() for phi in _attributions(model, rows, key, task)]
+    if not parts:
+        return None, 0.0
+    gap = max(J.check_additivity(phi, F.col("raw")).first()["max_error"] or 0.0 for phi in parts)
+    # One output a class: the mean over rows and classes is the mean over classes of each one's mean.
+    long = reduce(DataFrame.unionAll, [J.long_phi(phi, names, [key]) for phi in parts])
+    return J.global_importance(long, lineage).persist(), float(gap)
+
+
+def _attributions(model: H.FittedModel, rows: DataFrame, key: str, task: str) -> list[DataFrame]:
+    """(key, phi, base, raw) for each output of the model: one, or one a class beyond two classes."""
+    inner, names = model.model, model.recipe.names
     kind = type(inner).__name__
-    if kind in ("LinearRegressionModel", "LogisticRegressionModel") and (kind.startswith("Linear") or inner.numClasses == 2):
+    if kind in ("LinearRegressionModel", "LogisticRegressionModel"):
         encoded = model.recipe.encode(rows, [key])
-        phi = J.linear_shap(encoded, names, list(inner.coefficients.toArray()), float(inner.intercept), J.feature_means(encoded, names), [key])
-        margin = F.lit(float(inner.intercept))
-        for name, b in zip(names, inner.coefficients.toArray()):
-            margin = margin + F.col(f"`{name}`") * F.lit(float(b))
-        raw = encoded.select(key, margin.alias("raw"))
-        phi = phi.join(raw, key)
-    elif kind.startswith(("RandomForest", "GBT")):
-        output = 1 if task == "classification" and len(model.labels) == 2 else 0
-        scored = inner.transform(model.recipe.transform(rows, [key]))
-        if task == "regression":
-            raw = F.col("prediction")
-        elif kind.startswith("GBT"):
-            raw = vector_to_array("rawPrediction")[1]
+        means = J.feature_means(encoded, names)
+        if kind.startswith("Linear") or inner.numClasses == 2:
+            outputs = [(list(inner.coefficients.toArray()), float(inner.intercept))]
         else:
-            raw = vector_to_array("probability")[output]
-        phi = J.tree_shap(inner, scored.withColumn("raw", raw), len(names), [key, "raw"], output)
+            outputs = [(list(w), float(b)) for w, b in zip(inner.coefficientMatrix.toArray(), inner.interceptVector.toArray())]
+        parts = []
+        for weights, intercept in outputs:
+            margin = F.lit(intercept)
+            for name, b in zip(names, weights):
+                margin = margin + F.col(f"`{name}`") * F.lit(float(b))
+            phi = J.linear_shap(encoded.withColumn("_raw", margin), names, weights, intercept, means, [key, "_raw"])
+            parts.append(phi.withColumnRenamed("_raw", "raw"))
+        return parts
+    if not kind.startswith(("RandomForest", "GBT")):
+        return []
+    scored = inner.transform(model.recipe.transform(rows, [key]))
+    if task == "regression":
+        outputs = [(0, F.col("prediction"))]
+    elif kind.startswith("GBT"):
+        outputs = [(0, vector_to_array("rawPrediction")[1])]
+    elif len(model.labels) == 2:
+        outputs = [(1, vector_to_array("probability")[1])]
     else:
-        return None, 0.0
-    phi = phi.persist()
-    gap = J.check_additivity(phi, F.col("raw")).first()["max_error"] or 0.0
-    return J.global_importance(J.long_phi(phi, names, [key]), lineage).persist(), float(gap)
+        outputs = [(i, vector_to_array("probability")[i]) for i in range(len(model.labels))]
+    return [J.tree_shap(inner, scored.withColumn("raw", raw), len(names), [key, "raw"], i) for i, raw in outputs]
 
 
 def write_analysis(result: Analysis, folder: str) -> None:

@@ -196,7 +196,7 @@ def _(spark, d):
 def _tree_phi(spark, d):
     events = table(spark, d, "events")
     recipe = Recipe(EVENT_STRATEGIES)
-    model = H.fit_final(events, recipe, H.roster("regression", trees=5, depth=4)[0], "value", "regression", "event_id")
+    model = H.fit_final(events, recipe, H.roster("regression", depth=8)[0], "value", "regression", "event_id")
     encoded = model.recipe.transform(events, ["event_id"])
     phi = J.tree_shap(model.model, model.model.transform(encoded), len(model.recipe.names), ["event_id", "prediction"])
     return model, phi
