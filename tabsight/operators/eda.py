@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabsight.functions.columns import is_numeric, numeric_columns, ratio, skew_corrected
@@ -149,54 +151,41 @@ def describe_columns(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Lower triangle in long form: every unordered pair once, over pairwise-complete rows.
+    """(left, right, correlation): every unordered pair once, over the rows that have both values.
 
-    Two scans. The first measures each column's mean and gaps (one small row per column). The second sums
-    products of centred values, all pairs in one map-side-combined aggregate: one sum per pair where
-    neither side has gaps, six where the complete rows differ from pair to pair. Centring first keeps the
-    sums well conditioned.
+    Two scans and no expression a pair, so hundreds of columns plan as fast as two. The first scan measures the columns'
+    means. In the second each task multiplies blocks of centred rows and of the masks of their gaps into the sums of all
+    pairs, and one row a left column and task is added up; their number does not depend on the rows. Centring first keeps
+    the sums well conditioned.
     """
     columns = list(columns or numeric_columns(df))
-    n = F.count(F.lit(1))
-    shape = {
-        row["column"]: row
-        for row in per_column(
-            df, columns, lambda _, c: {"mean": F.avg(c.cast("double")), "gaps": n - F.count(c)}
-        ).collect()
-    }
-    centred = df.select(
-        *[(F.col(c).cast("double") - F.lit(shape[c]["mean"])).alias(f"c{i}") for i, c in enumerate(columns)]
+    width = len(columns)
+    means = {r["column"]: r["mean"] for r in per_column(df, columns, lambda _, c: {"mean": F.avg(c.cast("double"))}).collect()}
+    centred = df.select(*[(F.col(c).cast("double") - F.lit(means[c])).alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # n: rows with both; x, xx: sums of the left value and its square where the right one is there; xy: of products
+        sums = np.zeros((4, width, width))
+        for b in batches:
+            x = b.to_numpy(dtype=float, na_value=np.nan)
+            there = (~np.isnan(x)).astype(float)
+            x = np.where(there > 0, x, 0.0)
+            sums += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        yield pd.DataFrame({"i": np.arange(width), **{name: list(part) for name, part in zip(("n", "x", "xx", "xy"), sums)}})
+
+    names = ("n", "x", "xx", "xy")
+    parts = centred.mapInPandas(products, "i int, " + ", ".join(f"{c} array<double>" for c in names))
+    cells = parts.select("i", F.posexplode(F.arrays_zip(*names)).alias("j", "s")).groupBy("i", "j").agg(
+        *[F.sum(F.col("s")[c]).alias(c) for c in names]
     )
-    full = [shape[c]["gaps"] == 0 for c in columns]
-    sums, pairs = {}, []
-    for i in range(len(columns)):
-        for j in range(i + 1, len(columns)):
-            x, y, key = F.col(f"c{i}"), F.col(f"c{j}"), f"{i}_{j}"
-            sums[f"xy_{key}"] = F.sum(x * y)
-            if full[i] and full[j]:
-                sums[f"xx_{i}"], sums[f"xx_{j}"] = F.sum(x * x), F.sum(y * y)
-            else:
-                sums[f"n_{key}"] = F.count(x * y)
-                for tag, value, other in (("x", x, y), ("y", y, x)):
-                    kept = F.when(other.isNotNull(), value)
-                    sums[f"{tag}1_{key}"], sums[f"{tag}2_{key}"] = F.sum(kept), F.sum(kept * kept)
-            pairs.append((i, j))
-    totals = centred.agg(*[e.alias(k) for k, e in sums.items()])
-    rows = []
-    for i, j in pairs:
-        key = f"{i}_{j}"
-        if full[i] and full[j]:
-            cov, vx, vy = F.col(f"xy_{key}"), F.col(f"xx_{i}"), F.col(f"xx_{j}")
-        else:
-            count = F.nullif(F.col(f"n_{key}").cast("double"), F.lit(0.0))
-            x1, y1 = F.col(f"x1_{key}"), F.col(f"y1_{key}")
-            cov = F.col(f"xy_{key}") - x1 * y1 / count
-            vx, vy = F.col(f"x2_{key}") - x1 * x1 / count, F.col(f"y2_{key}") - y1 * y1 / count
-        spread = F.when((vx > 0) & (vy > 0), F.sqrt(vx) * F.sqrt(vy))
-        rows.append(
-            F.struct(F.lit(columns[i]).alias("left"), F.lit(columns[j]).alias("right"), F.try_divide(cov, spread).alias("correlation"))
-        )
-    return totals.select(F.inline(F.array(*rows)))
+    left = cells.where("i < j").alias("l")
+    right = cells.where("i > j").select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("x").alias("y"), F.col("xx").alias("yy")).alias("r")
+    both = left.join(right, ["i", "j"])  # one row a pair of columns
+    cov = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n"))
+    vx, vy = (F.col(q) - F.try_divide(F.col(v) * F.col(v), F.col("n")) for q, v in (("xx", "x"), ("yy", "y")))
+    spread = F.when((vx > 0) & (vy > 0), F.sqrt(vx) * F.sqrt(vy))
+    labels = F.array(*[F.lit(c) for c in columns])
+    return both.select(labels[F.col("i")].alias("left"), labels[F.col("j")].alias("right"), F.try_divide(cov, spread).alias("correlation"))
 
 
 def top_correlations(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_CORRELATIONS) -> DataFrame:

@@ -114,6 +114,18 @@ def _(spark, d):
     return numbers(E.correlation_matrix(table(spark, d, "lineitem"), _CORR), 6)
 
 
+@query(
+    "d6_correlation_wide",
+    f"""WITH u AS (SELECT vec_id, 'e' || lpad(CAST(i AS VARCHAR), 2, '0') AS name, CASE WHEN vec_id % 11 <> i % 11 THEN CAST(embedding[i + 1] AS DOUBLE) END AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS i))
+    SELECT a.name AS "left", b.name AS "right", {r('corr(a.v, b.v)', 6)} AS correlation FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.name < b.name WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY ALL""",
+)
+def _(spark, d):
+    wide = table(spark, d, "embeddings").select(
+        *[F.when(F.col("vec_id") % 11 != i % 11, F.col("embedding")[i].cast("double")).alias(f"e{i:02d}") for i in range(64)]
+    )
+    return numbers(E.correlation_matrix(wide), 6)
+
+
 @query(
     "d7_heatmap_columns",
     f"SELECT * FROM ({union_all([f'''SELECT '{c}' AS \"column\", {r(f'stddev_pop({c})', 4)} AS spread FROM lineitem''' for c in _CORR])}) ORDER BY spread DESC LIMIT 25",
