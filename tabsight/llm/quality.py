@@ -58,6 +58,13 @@ MENU_WORDS = [
     "faq",
 ]
 
+#: The rules of a line, in the part of regular expressions that Spark's and DuckDB's have in common.
+NOTICE = "(?i)" + "|".join(NOTICES)
+_MARKS = r"[\x20\x09-\x0D|>»•·/-]*"
+MENU = rf"(?i)\A{_MARKS}(?:(?:{'|'.join(MENU_WORDS)}){_MARKS})+\z"
+BARS = r"\A(?:[^|»•>]{0,30}[|»•>]){3,}[^|»•>]{0,30}\z"
+PLAIN = r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
+
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, BLANKS), lambda w: w != "")
@@ -70,11 +77,8 @@ def visible(text: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line that has a word fails a rule."""
-    notice = line.rlike("(?i)" + "|".join(NOTICES))
-    menu = line.rlike(rf"(?i)\A[\s|>»•·/-]*(?:(?:{'|'.join(MENU_WORDS)})[\s|>»•·/-]*)+\z")
-    bars = line.rlike(r"\A(?:[^|»•>]{0,30}[|»•>]){3,}[^|»•>]{0,30}\z")
-    noise = let(visible(line), lambda n: 2 * F.length(F.regexp_replace(line, r"[\p{L}\p{M}\p{N}\s]+", "")) >= n)
-    return notice | menu | bars | noise
+    noise = let(visible(line), lambda n: 2 * F.length(F.regexp_replace(line, PLAIN, "")) >= n)
+    return line.rlike(NOTICE) | line.rlike(MENU) | line.rlike(BARS) | noise
 
 
 def repeated_words(words: Column) -> Column:

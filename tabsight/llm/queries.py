@@ -71,4 +71,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+_Q = quality
+_VISIBLE = rf"len(regexp_replace({{0}}, '{_Q.BLANKS}', '', 'g'))"
+_LINE_FAILS = (
+    f"(regexp_matches(line, '{_Q.NOTICE}') OR regexp_matches(line, '{_Q.MENU}') OR regexp_matches(line, '{_Q.BARS}') "
+    f"OR 2 * len(regexp_replace(line, '{_Q.PLAIN}', '', 'g')) >= {_VISIBLE.format('line')})"
+)
+
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+    t AS (SELECT *, list_filter(regexp_split_to_array(text, '{_Q.BLANKS}'), lambda w: w <> '') AS words FROM d),
+    w AS (SELECT id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM (SELECT id, words, unnest(range(1, len(words) - 1)) AS i FROM t)),
+    c AS (SELECT id, i FROM w QUALIFY count(*) OVER (PARTITION BY id, gram) > 1),
+    p AS (SELECT id, count(DISTINCT i + j) AS n_repeat_words FROM c, (SELECT unnest([0, 1, 2]) AS j) GROUP BY id),
+    l AS (SELECT id, line FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_Q.WORD}')),
+    k AS (SELECT id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER ({_LINE_FAILS}) AS n_failed_lines, coalesce(sum({_VISIBLE.format('line')}) FILTER ({_LINE_FAILS}), 0) AS lost FROM l GROUP BY id),
+    m AS (SELECT doc_id, len(words) AS n_words, {_VISIBLE.format('text')} AS word_chars, len(regexp_replace(text, '{_Q.SYMBOLS}', '', 'g')) AS n_symbols,
+      coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_failed_lines, 0) AS n_failed_lines, coalesce(lost, 0) AS lost FROM t LEFT JOIN p USING (id) LEFT JOIN k USING (id)),
+    b AS (SELECT *, n_words < {_Q.LEAST_WORDS} OR 100 * n_repeat_words > {_Q.MOST_REPEATED} * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost <= {_Q.MOST_LOST} * word_chars AS kept, n_failed_lines FROM b""",
+}
