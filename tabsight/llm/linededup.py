@@ -4,7 +4,7 @@ A line's shingles are the runs of ``SHINGLE_CHARS`` characters that begin at its
 character, in very long words every ``LONG_WORD`` characters). Hashes of the shingles give a signature of ``BANDS`` x
 ``ROWS`` minima, lines that agree in a whole band are candidates, candidates are verified by the exact Jaccard similarity of
 their shingle sets, and verified links go through a distributed union-find. A pair of similarity 0.8 becomes a candidate
-with probability 0.995.
+with probability 0.999.
 
 No group is ever expanded into all its pairs. In a band's bucket every line is compared with one leader, the line that meets
 the most others over all its bands (among many near copies that is the text they come from). After the first union-find the
@@ -24,7 +24,7 @@ from tabsight.llm.common import links_to_labels, staged
 SHINGLE_CHARS = 12
 LONG_WORD = 16
 SIMILARITY = 0.8
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 10, 3
 #: Slots of the set of wanted lines that is broadcast ahead of a join; more lines only fill it up.
 SLOTS = 1 << 20
 
@@ -66,7 +66,7 @@ def signatures(lines: DataFrame) -> DataFrame:
     for r in range(1, ROWS):
         parts = parts.select("*", F.hash(f"x{r - 1}").alias(f"x{r}"))
     # Each row of a band has a hash of its own; a band's constant, with high bits of its own, gives it another order.
-    order = [(b << 28) - (1 << 31) | 0x5BD1E95 * (b + 1) & 0xFFFFFFF for b in range(0, 16, 16 // BANDS)]
+    order = [(b << 28) - (1 << 31) | 0x5BD1E95 * (b + 1) & 0xFFFFFFF for b in (16 * i // BANDS for i in range(BANDS))]
     minima = [F.min(F.col(f"x{r}").bitwiseXOR(F.lit(order[b]))).alias(f"m{b * ROWS + r}") for b in range(BANDS) for r in range(ROWS)]
     found = parts.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count_if(F.col("p") == 0).alias("n"), *minima)
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
