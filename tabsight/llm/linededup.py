@@ -23,7 +23,8 @@ from tabsight.llm.common import links_to_labels, staged
 
 SHINGLE_CHARS = 12
 LONG_WORD = 16
-SIMILARITY = 0.8
+#: Least Jaccard similarity as a fraction, so that whole numbers are compared.
+SIMILARITY = (4, 5)
 BANDS, ROWS = 10, 3
 #: Slots of the set of wanted lines that is broadcast ahead of a join; more lines only fill it up.
 SLOTS = 1 << 20
@@ -105,7 +106,8 @@ def alike(left: Column, right: Column) -> Column:
     """Whether two shingle sets have a Jaccard similarity of ``SIMILARITY`` or more; unequal sizes rule most pairs out."""
     small, large = F.least(F.size(left), F.size(right)), F.greatest(F.size(left), F.size(right))
     common = F.size(F.array_intersect(left, right))
-    return (small >= SIMILARITY * large) & (common * (1 + SIMILARITY) >= SIMILARITY * (small + large))
+    over, under = SIMILARITY
+    return (under * small >= over * large) & ((under + over) * common >= over * (small + large))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
