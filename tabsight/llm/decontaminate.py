@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import islice, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from tabsight.llm.common import raw_texts, staged
 
 #: Words of a test window; a shorter item is one window.
 WINDOW = 10
-#: All words of a window within this many positions of its rarest word, in any order, are a proximity match.
+#: All words of a window within this many positions of an occurrence of its first, in any order, are a proximity match.
 NEAR = 20
 #: Words after which a segment is closed; a longer document is a segment of its own.
 SEGMENT_WORDS = 1_500_000
@@ -82,7 +82,7 @@ class Segment:
 
 
 def build_index(docs: DataFrame, vocabulary: list[bytes] | None = None) -> DataFrame:
-    """One row a segment: doc_ids, starts, lengths, terms, begins (of each term's list) and positions.
+    """One row a segment: its number, doc_ids, starts, lengths, terms, begins (of each term's list) and positions.
 
     ``vocabulary`` (bounded by the caller) leaves out the words that no question will ask for; None stores every word. Null
     and empty texts are documents without words; columns other than doc_id and text are not read.
@@ -114,9 +114,8 @@ def build_index(docs: DataFrame, vocabulary: list[bytes] | None = None) -> DataF
             yield pa.RecordBatch.from_pylist([segment.row()], schema)
 
     out = f"doc_ids array<{'string' if kind == 'string' else 'bigint'}>, starts array<bigint>, lengths array<bigint>, "
-    return docs.select("doc_id", "text").mapInArrow(
-        run, out + "terms array<binary>, begins array<bigint>, positions array<bigint>"
-    )
+    out += "terms array<binary>, begins array<bigint>, positions array<bigint>"
+    return docs.select("doc_id", "text").mapInArrow(run, out).withColumn("segment", F.monotonically_increasing_id())
 
 
 def windows_of(items: list[tuple[str, bytes]]) -> dict[tuple[bytes, ...], list[str]]:
@@ -138,6 +137,12 @@ def meet(starts: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return starts[positions[k] == starts]
 
 
+def around(positions: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The ``positions`` within ``NEAR`` of one of the ``centres``."""
+    k = np.searchsorted(centres, positions - NEAR)
+    return positions[(k < len(centres)) & (centres[np.minimum(k, len(centres) - 1)] <= positions + NEAR)]
+
+
 def search_segment(row: dict, windows: dict[tuple[bytes, ...], list[str]], near: bool) -> Iterator[tuple]:
     """(doc_id, n_words, hit word positions, items with a window, items with a near window) of each document."""
     positions = np.asarray(row["positions"], np.int64)
@@ -163,8 +168,8 @@ def search_segment(row: dict, windows: dict[tuple[bytes, ...], list[str]], near:
                 hits.setdefault(int(d), []).append((at[owner == d][:, None] + np.arange(len(window))).ravel())
                 items.setdefault(int(d), set()).update(holders)
         if near:
-            at = rare
-            for i in order[1:]:
+            at = around(found[0], rare) if order[0] else rare
+            for i in order:
                 k = np.searchsorted(found[i], at - NEAR)
                 inside = k < len(found[i])
                 inside[inside] = found[i][k[inside]] <= at[inside] + NEAR
@@ -179,22 +184,24 @@ def search_segment(row: dict, windows: dict[tuple[bytes, ...], list[str]], near:
 
 
 def search(index: DataFrame, items: list[tuple[str, bytes]], doc_type: str = "bigint", near: bool = True) -> DataFrame:
-    """One row a document: n_words, hit (positions of hit words), items and near_items (sorted ids)."""
+    """One row a document: segment and place in it, n_words, hit (positions of hit words), items and near_items (sorted ids)."""
     windows = windows_of(items)
     kind = pa.string() if doc_type == "string" else pa.int64()
-    names = ["doc_id", "n_words", "hit", "items", "near_items"]
-    types = [kind, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string())]
+    names = ["segment", "place", "doc_id", "n_words", "hit", "items", "near_items"]
+    types = [pa.int64(), pa.int64(), kind, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = search_segment(batch.slice(i, 1).to_pylist()[0], windows, near)
+                row = batch.slice(i, 1).to_pylist()[0]
+                rows = enumerate(search_segment(row, windows, near))
                 while block := list(islice(rows, 4096)):
-                    columns = [[r[0] for r in block], [r[1] for r in block], [r[2] for r in block]]
-                    columns += [[sorted(r[3]) for r in block], [sorted(r[4]) for r in block]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+                    found = [(row["segment"], place, *r[:3], sorted(r[3]), sorted(r[4])) for place, r in block]
+                    columns = [pa.array([r[c] for r in found], t) for c, t in enumerate(types)]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = f"doc_id {doc_type}, n_words bigint, hit array<bigint>, items array<string>, near_items array<string>"
+    schema = f"segment bigint, place bigint, doc_id {doc_type}, n_words bigint, hit array<bigint>, "
+    schema += "items array<string>, near_items array<string>"
     return index.mapInArrow(run, schema)
 
 
@@ -215,22 +222,22 @@ def find_contamination(docs: DataFrame, items: DataFrame, near: bool = True, siz
 
     ``docs`` needs doc_id and text, ``items`` item_id and text; other columns, also of the same names as the result's, are not
     read. Null and empty texts have no words and no hits, items without words have no window, equal items all count, an empty
-    table of items hits nothing. One pass over the index handles ``size`` items, whatever their number in all; the passes of
-    a larger test set are unioned and added up by document.
+    table of items hits nothing; repeated rows and rows without an id are documents of their own. A test set of up to ``size``
+    items, the usual case, is searched in one pass over an index of its own words; a larger one in several passes over an
+    index of all words, each pass staged and added up by document.
     """
-    parts = []
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    for block in item_passes(items, size):
-        vocabulary = sorted({w for _, text in block for w in words_of(text)})
-        index = staged(build_index(docs, vocabulary), "postings")
-        parts.append(search(index, block, doc_type, near))
-    if not parts:
-        return search(build_index(docs, []), [], doc_type, near)
-    if len(parts) == 1:
-        return parts[0]
-    merged = reduce(DataFrame.unionAll, parts).groupBy("doc_id")
+    passes = item_passes(items, size)
+    first, second = next(passes, []), next(passes, None)
+    vocabulary = sorted({w for _, text in first for w in words_of(text)}) if second is None else None
+    index = staged(build_index(docs, vocabulary), "postings")
+    columns = ["doc_id", "n_words", "hit", "items", "near_items"]
+    if second is None:
+        return search(index, first, doc_type, near).select(columns)
+    parts = [staged(search(index, block, doc_type, near), "found") for block in chain([first, second], passes)]
     flat = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return merged.agg(F.max("n_words").alias("n_words"), flat("hit"), flat("items"), flat("near_items"))
+    merged = reduce(DataFrame.unionAll, parts).groupBy("segment", "place")
+    return merged.agg(*[F.first(c).alias(c) for c in columns[:2]], *[flat(c) for c in columns[2:]]).select(columns)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

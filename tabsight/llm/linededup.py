@@ -170,7 +170,8 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines; a document that loses all its lines keeps an empty text."""
-    found = docs.join(removed_lines(docs), "doc_id", "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = docs.select(row.alias("row"), "doc_id", "text").join(removed_lines(docs), "doc_id", "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return found.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return found.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

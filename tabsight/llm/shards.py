@@ -134,10 +134,14 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write whole documents as one folder a shard, sorted along the curve, with footers that let readers skip files."""
-    placed = hilbert_shards(docs, shards).select("doc_id", "shard", "slot")
-    rows = docs.join(placed, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-    rows.write.partitionBy("shard").parquet(path)
+    """Write whole documents as one folder a shard, sorted along the curve, with footers that let readers skip files.
+
+    The folders are named after the column ``hilbert_shard``; columns of the names added here are replaced.
+    """
+    placed = hilbert_shards(docs, shards).select("doc_id", F.col("shard").alias("hilbert_shard"), F.col("slot").alias("hilbert_slot"))
+    place = ["hilbert_shard", "hilbert_slot"]
+    rows = docs.drop(*place).join(placed, "doc_id").repartitionByRange(*place).sortWithinPartitions(*place)
+    rows.write.partitionBy("hilbert_shard").parquet(path)
 
 
 def digest(placed: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def frame(spark, data, schema: str = "doc_id long, text string"):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(data, schema).repartition(3)
-    return df.withColumns({c: F.lit("own") for c in ("_row", "line", "id", "label", "h1", "words", "base", "_text")})
+    return df.withColumns({c: F.lit("own") for c in ("_row", "row", "line", "id", "label", "h1", "words", "base", "_text", "removed", "segment", "place")})
 
 
 def lower_ascii(text: str) -> str:

@@ -100,11 +100,12 @@ def test_failing_lines_go_and_heavy_losers_with_them(spark):
     assert quality.assess(frame(spark, [])).count() == 0
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("size", [20, 1000])
+def test_contamination(spark, size):
     items = rows(name="benchmark", columns="item_id, text") + [(9001, "x"), (9002, None), (9003, "!!"), (9004, "same words")]
     data = rows() + AWKWARD + [(9201, "before " + (items[0][1] or "") + " after")]
     table = frame(spark, items, "item_id long, text string")
-    found = {r.doc_id: r for r in decontaminate.digest(decontaminate.find_contamination(frame(spark, data), table, size=150)).collect()}
+    found = {r.doc_id: r for r in decontaminate.digest(decontaminate.find_contamination(frame(spark, data), table, size=size)).collect()}
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower_ascii(t or ""))
     windows = {}
     for item_id, text in items:
@@ -121,7 +122,13 @@ def test_contamination(spark):
         r = found[doc_id]
         assert (r.n_words, r.n_hit, r.n_items) == (len(w), len(hit), len(held))
         assert r.items_sha256 == sha(",".join(sorted(held))) and r.contaminated == bool(hit)
-        assert r.n_near_items >= r.n_items
+        places = {x: [i for i, y in enumerate(w) if y == x] for x in set(w)}
+        near = set()
+        for window, holders in windows.items():
+            if all(x in places for x in window) and not holders <= near:
+                if any(all(any(abs(p - q) <= decontaminate.NEAR for q in places[x]) for x in window) for p in places[window[0]]):
+                    near |= holders
+        assert r.n_near_items == len(near)
     assert found[9201].contaminated
 
 
