@@ -123,12 +123,12 @@ def drop_sparse(df: DataFrame, target: str, max_null_rate: float = MAX_NULL_RATE
 
 def guard_usable(df: DataFrame, target: str) -> None:
     if len(df.columns) < 2:
-        raise NothingLeft("no usable feature columns remain after cleaning")
+        raise NothingLeft("cleaning left no column besides the target")
     row = df.agg(F.count(F.lit(1)).alias("n"), F.min(target).alias("lo"), F.max(target).alias("hi")).first()
     if row["n"] < 2:
-        raise NothingLeft(f"only {row['n']} row(s) remain after cleaning")
+        raise NothingLeft(f"cleaning left {row['n']} rows, which is too few")
     if row["lo"] is None or row["lo"] == row["hi"]:
-        raise NothingLeft(f"the target column {target!r} has only one distinct value")
+        raise NothingLeft(f"every row has the same value of {target!r}, so there is nothing to predict")
 
 
 @dataclass
@@ -160,7 +160,7 @@ def clean(
     rows: it is kept and never judged, and of rows that differ only in it the one with the smallest key stays.
     """
     if target not in df.columns:
-        raise NothingLeft(f"target column {target!r} is not in the table")
+        raise NothingLeft(f"there is no column {target!r} to predict")
     bare = (lambda t: t.drop(key)) if key else (lambda t: t)
     before_columns = len(bare(df).columns)
     dropped = [(c, "excluded") for c in excluded if c in df.columns and c != target]

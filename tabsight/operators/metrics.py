@@ -192,7 +192,7 @@ def concentrated_error(df: DataFrame, key: Sequence[str], y: str = "y", pred: st
     Fold scores are a handful of rows on the driver; the running share of squared error inside the worst
     fold is a distributed running total.
     """
-    empty = "fold long, score double, median_score double, n_test_rows long, n_dominant_rows long, dominant_error_share double, score_without_dominant double"
+    empty = "fold long, score double, middle_score double, scored_rows long, heavy_rows long, heavy_share double, score_without_heavy double"
     scores = {r[fold]: r["value"] for r in regression_metrics(df, y, pred, [fold]).where("metric = 'r2'").collect()}
     spark = df.sparkSession
     if len(scores) < 3 or any(v is None for v in scores.values()):
@@ -210,17 +210,17 @@ def concentrated_error(df: DataFrame, key: Sequence[str], y: str = "y", pred: st
     dominant = (F.col("_cum") - F.col("_e2")) / F.col("_total") < DOMINANT_SHARE
     kept_y, kept_e = F.when(~dominant, F.col("_y")), F.when(~dominant, F.col("_e2"))
     found = shared.groupBy("_n").agg(
-        F.count_if(dominant).alias("n_dominant_rows"),
-        (F.max(F.when(dominant, F.col("_cum"))) / F.first("_total")).alias("dominant_error_share"),
-        F.when(F.count(kept_y) >= 2, 1 - F.try_divide(F.avg(kept_e), F.nullif(F.var_pop(kept_y), F.lit(0.0)))).alias("score_without_dominant"),
+        F.count_if(dominant).alias("heavy_rows"),
+        (F.max(F.when(dominant, F.col("_cum"))) / F.first("_total")).alias("heavy_share"),
+        F.when(F.count(kept_y) >= 2, 1 - F.try_divide(F.avg(kept_e), F.nullif(F.var_pop(kept_y), F.lit(0.0)))).alias("score_without_heavy"),
     )
     limit = F.greatest(F.lit(1), F.floor(F.col("_n") * DOMINANT_ROWS))
-    return found.where(F.col("n_dominant_rows") <= limit).select(
+    return found.where(F.col("heavy_rows") <= limit).select(
         F.lit(worst).cast("long").alias("fold"),
         F.lit(scores[worst]).alias("score"),
-        F.lit(middle).alias("median_score"),
-        F.col("_n").alias("n_test_rows"),
-        "n_dominant_rows",
-        "dominant_error_share",
-        "score_without_dominant",
+        F.lit(middle).alias("middle_score"),
+        F.col("_n").alias("scored_rows"),
+        "heavy_rows",
+        "heavy_share",
+        "score_without_heavy",
     )

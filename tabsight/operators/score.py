@@ -20,7 +20,7 @@ def align(df: DataFrame, card: Sequence[tuple[str, str]], keep: Sequence[str] =
     missing = [c for c in names if c not in df.columns]
     unexpected = sorted(set(df.columns) - set(names) - set(keep))
     if len(missing) == len(names):
-        raise NothingToScore("none of the model's input columns were supplied: " + ", ".join(names[:10]))
+        raise NothingToScore("the batch has no column that the model knows; it needs " + ", ".join(names[:10]))
     out = []
     for name, dtype in card:
         if name in missing:

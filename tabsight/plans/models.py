@@ -328,13 +328,13 @@ def _(spark, d):
     e AS (SELECT y, (y - pred) * (y - pred) AS e2, sum((y - pred) * (y - pred)) OVER (ORDER BY (y - pred) * (y - pred) DESC, l_orderkey, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS cum,
       sum((y - pred) * (y - pred)) OVER () AS total, count(*) OVER () AS n FROM p WHERE fold = (SELECT fold FROM w)),
     t AS (SELECT *, (cum - e2) / total < 0.5 AS dom FROM e)
-    SELECT (SELECT fold FROM w) AS fold, {r('(SELECT r2 FROM w)', 4)} AS score, {r('(SELECT mid FROM m)', 4)} AS median_score, any_value(n) AS n_test_rows, count(*) FILTER (dom) AS n_dominant_rows,
-    {r('max(cum) FILTER (dom) / any_value(total)')} AS dominant_error_share, {r('1 - avg(e2) FILTER (NOT dom) / var_pop(y) FILTER (NOT dom)', 4)} AS score_without_dominant FROM t
+    SELECT (SELECT fold FROM w) AS fold, {r('(SELECT r2 FROM w)', 4)} AS score, {r('(SELECT mid FROM m)', 4)} AS middle_score, any_value(n) AS scored_rows, count(*) FILTER (dom) AS heavy_rows,
+    {r('max(cum) FILTER (dom) / any_value(total)')} AS heavy_share, {r('1 - avg(e2) FILTER (NOT dom) / var_pop(y) FILTER (NOT dom)', 4)} AS score_without_heavy FROM t
     HAVING (SELECT mid FROM m) - (SELECT r2 FROM w) >= 0.05 AND count(*) FILTER (dom) <= greatest(1, floor(any_value(n) * 0.05))""",
 )
 def _(spark, d):
     out = M.concentrated_error(prices(spark, d), ["l_orderkey", "l_partkey", "l_suppkey"])
-    digits = {"dominant_error_share": 6}
+    digits = {"heavy_share": 6}
     return out.select(*[rounded(F.col(f.name), digits.get(f.name, 4)).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in out.schema])
 
 

@@ -53,12 +53,14 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
 
 
 def duplicate_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(name, n) for header names that occur more than once, from the raw first line."""
-    line = spark.read.text(path).limit(1)
+    """(name, n) for header names that occur more than once in the raw first line of a file, whichever file it is."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", F.monotonically_increasing_id()).alias("value"))
     fields = F.regexp_extract_all("value", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    names = line.select(F.explode(fields).alias("raw"))
+    names = first.select("file", F.explode(fields).alias("raw"))
     clean = F.regexp_replace(F.regexp_replace("raw", '^"|"$', ""), '""', '"')
-    return names.groupBy(clean.alias("name")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    counts = names.groupBy("file", clean.alias("name")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return counts.groupBy("name").agg(F.max("n").alias("n"))
 
 
 def map_missing(df: DataFrame) -> DataFrame:
@@ -148,9 +150,9 @@ def apply_schema(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 def check_usable(df: DataFrame) -> None:
     if len(df.columns) < 2:
-        raise UnusableTable("a dataset needs at least two columns")
+        raise UnusableTable("one column alone leaves nothing to learn from")
     if len(set(df.columns)) != len(df.columns):
-        raise UnusableTable("duplicate column names")
+        raise UnusableTable("two columns have the same name")
     if df.isEmpty():
         raise UnusableTable("the table has no rows")
 

@@ -150,7 +150,7 @@ def test_concentrated_error_is_silent_when_spread_evenly(spark):
     hit = df.withColumn("pred", F.when(F.col("id") == 3, 5000.0).otherwise(F.col("pred")))
     for small in (True, False):
         row = M.concentrated_error(hit, ["id"], small=small).first()
-        assert row["fold"] == 3 and row["n_dominant_rows"] == 1 and row["score_without_dominant"] > 0.99
+        assert row["fold"] == 3 and row["heavy_rows"] == 1 and row["score_without_heavy"] > 0.99
 
 
 # ---- attribution ---------------------------------------------------------------------------------
