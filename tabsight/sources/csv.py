@@ -54,8 +54,9 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
 
 def duplicate_headers(spark: SparkSession, path: str) -> DataFrame:
     """(name, n) for header names that occur more than once in the raw first line of a file, whichever file it is."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", F.monotonically_increasing_id()).alias("value"))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")]
+    lines = spark.read.text(path).select("value", *place)
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "row").alias("value"))
     fields = F.regexp_extract_all("value", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
     names = first.select("file", F.explode(fields).alias("raw"))
     clean = F.regexp_replace(F.regexp_replace("raw", '^"|"$', ""), '""', '"')
