@@ -409,7 +409,11 @@ def _(spark, d):
     return numbers(G.time_gap_report(df, "value"), 6)
 
 
-@query("g7_smote")
+@query(
+    "g7_smote",
+    """WITH c AS (SELECT CASE WHEN label < 2 THEN 1 ELSE 0 END AS target, count(*) AS n FROM embeddings GROUP BY 1), t AS (SELECT max(n) AS top FROM c)
+    SELECT target, false AS synthetic, n, 0 AS bases FROM c UNION ALL SELECT target, true, top - n, least(n, top - n) FROM c, t WHERE top > n""",
+)
 def _(spark, d):
     vectors = table(spark, d, "embeddings").select(
         "vec_id", (F.col("label") < 2).cast("int").alias("target"), F.transform("embedding", lambda v: v.cast("double")).alias("features")

@@ -391,13 +391,13 @@ def _line_model(spark, d):
     return H.fit_final(line, Recipe(_LINE_STRATEGIES), H.roster("regression")[1], "l_extendedprice", "regression", "l_orderkey")
 
 
-@query(
-    "k3_predict",
-    f"""WITH m AS (SELECT avg(l_quantity) AS x1, avg(l_discount) AS x2, avg(l_extendedprice) AS y, var_pop(l_quantity) AS v1, var_pop(l_discount) AS v2, covar_pop(l_quantity, l_discount) AS c,
+_PREDICTED = f"""WITH m AS (SELECT avg(l_quantity) AS x1, avg(l_discount) AS x2, avg(l_extendedprice) AS y, var_pop(l_quantity) AS v1, var_pop(l_discount) AS v2, covar_pop(l_quantity, l_discount) AS c,
     covar_pop(l_quantity, l_extendedprice) AS c1, covar_pop(l_discount, l_extendedprice) AS c2 FROM lineitem),
     b AS (SELECT *, (c1 * v2 - c2 * c) / (v1 * v2 - c * c) AS b1, (c2 * v1 - c1 * c) / (v1 * v2 - c * c) AS b2 FROM m)
-    SELECT {', '.join(_LINE_KEYS)}, {r('y + b1 * (l_quantity - x1) + b2 * (l_discount - x2)', 3)} AS pred FROM lineitem, b""",
-)
+    SELECT {', '.join(_LINE_KEYS)}, {r('y + b1 * (l_quantity - x1) + b2 * (l_discount - x2)', 3)} AS pred FROM lineitem, b"""
+
+
+@query("k3_predict", _PREDICTED)
 def _(spark, d):
     model = _line_model(spark, d)
     return numbers(K.score(model, table(spark, d, "lineitem"), _LINE_KEYS), 3)
@@ -420,7 +420,7 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", rounded(from_model_scale(F.col("value") / 20), 4).alias("pred"))
 
 
-@query("k6_score_stream")
+@query("k6_score_stream", _PREDICTED)
 def _(spark, d):
     model = _line_model(spark, d)
     schema = table(spark, d, "lineitem").schema
