@@ -146,11 +146,17 @@ def assess(docs: DataFrame) -> DataFrame:
     same verdict; an empty table gives an empty result.
     """
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines"]
-    return measured(docs.select("doc_id", "text")).select("doc_id", *columns)
+    return as_made(measured(docs.select("doc_id", "text")), ["doc_id", *columns])
+
+
+def as_made(measures: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns through a generator of one row each: a caller's filter would else be pushed below the measures, and every
+    measure it mentions would be worked out again."""
+    return measures.select(F.inline(F.array(F.struct(*columns))))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs`` without their failing lines; all other columns as they were."""
-    narrow = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("text"))
-    found = measured(narrow).where("kept")
-    return found.select(*[F.col("clean").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = as_made(measured(docs.select(row.alias("_row"), F.col("text").alias("text"))), ["_row", "clean", "kept"])
+    return found.where("kept").select(*[F.col("clean").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
