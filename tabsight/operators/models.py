@@ -77,9 +77,20 @@ def roster(task: str, trees: int = 100, depth: int = 12, rounds: int = 100, seed
 # ---- labels and the baseline ---------------------------------------------------------------------
 
 
+#: More distinct target values than this are no classes: the caller meant a number, or has to group them.
+MAX_CLASSES = 1000
+
+
+class TooManyClasses(ValueError):
+    """The target has too many distinct values to be classified."""
+
+
 def class_labels(df: DataFrame, target: str) -> list[str]:
-    """Class names in alphabetical order; as many rows as there are classes reach the driver."""
-    rows = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("v")).distinct().collect()
+    """Class names in alphabetical order; as many rows as there are classes reach the driver, never one more than allowed."""
+    values = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("v")).distinct()
+    rows = values.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise TooManyClasses(f"{target!r} has over {MAX_CLASSES} distinct values")
     return sorted(r["v"] for r in rows)
 
 

@@ -20,6 +20,10 @@ from tabsight.functions.frames import unpivot_number
 from tabsight.session import is_small, pin
 
 
+#: Rows of a bucket that one task orders.
+BUCKET_ROWS = 100_000
+
+
 def _order_columns(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
@@ -82,13 +86,14 @@ def hashed_ordinal(
     seed: int = 42,
     by: Sequence[str] = (),
     name: str = "ordinal",
-    prefix: int = 3,
+    prefix: int | None = None,
     small: bool | None = None,
 ) -> DataFrame:
     """1-based position in the md5 order of ``keys`` inside each ``by`` group.
 
-    The md5 is uniform, so a hot group is spread over ``16**prefix`` even buckets. Nothing is pinned:
-    the bucket depends only on the key, so recomputing a lost task gives the same answer.
+    The md5 is uniform, so a hot group is spread over ``16**prefix`` even buckets; the prefix follows the row count, for
+    ``BUCKET_ROWS`` rows a bucket at most. Nothing is pinned: the bucket depends only on the key, so recomputing a lost
+    task gives the same answer.
     """
     tagged = df.withColumn("_md5", md5_order(keys, seed))
     if small is None:
@@ -96,6 +101,11 @@ def hashed_ordinal(
     if small:
         window = Window.partitionBy(*by).orderBy("_md5")
         return tagged.withColumn(name, F.row_number().over(window).cast("long")).drop("_md5")
+    if prefix is None:
+        prefix = 3
+        rows = df.count()
+        while rows > BUCKET_ROWS * 16**prefix:
+            prefix += 1
     tagged = tagged.withColumn("_bucket", F.substring("_md5", 1, prefix))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

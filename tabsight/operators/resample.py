@@ -10,13 +10,17 @@ from tabsight.operators.ordinal import hashed_ordinal
 # Limits.
 MIN_MINORITY = 6
 NEIGHBOURS = 5
+MAX_CLASSES = 1000
 
 
 def refusal(df: DataFrame, target: str, task: str) -> str | None:
     """Why oversampling cannot be done, or None."""
     if task != "classification":
         return "the target is continuous"
-    counts = [r["n"] for r in df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n")).collect()]
+    sizes = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+    counts = [r["n"] for r in sizes.limit(MAX_CLASSES + 1).collect()]
+    if len(counts) > MAX_CLASSES:
+        return f"the target has over {MAX_CLASSES} values"
     if len(counts) < 2:
         return "the target has only one class"
     if min(counts) < MIN_MINORITY:

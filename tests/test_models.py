@@ -215,3 +215,10 @@ def test_top_driver_is_the_planted_one(spark, churn):
     phi = J.tree_shap(model.model, scored, len(model.recipe.names), ["id"], 1)
     top = J.global_importance(J.long_phi(phi, model.recipe.names, ["id"]), model.recipe.lineage_table(spark)).orderBy("position").first()
     assert top["source"] == "support_calls" and top["share"] > 0.5
+
+
+def test_a_target_of_too_many_values_is_refused(spark):
+    many = spark.range(H.MAX_CLASSES + 5).select(F.concat(F.lit("v"), "id").alias("label"))
+    with pytest.raises(H.TooManyClasses):
+        H.class_labels(many, "label")
+    assert H.class_labels(many.limit(3), "label") == sorted(r["label"] for r in many.limit(3).collect())
