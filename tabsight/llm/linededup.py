@@ -1,10 +1,9 @@
 """Fuzzy line deduplication by MinHash: of every group of near-equal lines one stays.
 
-A line's shingles are the runs of ``SHINGLE_CHARS`` characters that begin at its words (in scripts without blanks at every
-character, in very long words every ``LONG_WORD`` characters). Hashes of the shingles give a signature of ``BANDS`` x
-``ROWS`` minima, lines that agree in a whole band are candidates, candidates are verified by the exact Jaccard similarity of
-their shingle sets, and verified links go through a distributed union-find. A pair of similarity 0.8 becomes a candidate
-with probability 0.999.
+A line's shingles are its runs of ``SHINGLE_CHARS`` characters, one beginning at every character; a shorter line is its own
+shingle. Hashes of the shingles give a signature of ``BANDS`` x ``ROWS`` minima, lines that agree in a whole band are
+candidates, candidates are verified by the exact Jaccard similarity of their shingle sets, and verified links go through a
+distributed union-find. A pair of similarity 0.8 becomes a candidate with probability 0.999.
 
 No group is ever expanded into all its pairs. In a band's bucket every line is compared with one leader, the line that meets
 the most others over all its bands (among many near copies that is the text they come from). After the first union-find the
@@ -22,25 +21,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabsight.llm.common import links_to_labels, staged
 
 SHINGLE_CHARS = 12
-LONG_WORD = 16
 #: Least Jaccard similarity as a fraction, so that whole numbers are compared.
 SIMILARITY = (4, 5)
 BANDS, ROWS = 10, 3
 #: Slots of the set of wanted lines that is broadcast ahead of a join; more lines only fill it up.
 SLOTS = 1 << 20
 
-#: Scripts whose words have no blanks between them: South-East Asian ones, kana and ideographs.
-UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF"
-#: One shingle each match: the look-ahead takes its characters, the rest moves on to the next word.
-SPACED_SHINGLE = rf"(?=(.{{1,{SHINGLE_CHARS}}}))[^ ]{{1,{LONG_WORD}}}+ *+"
-ANY_SHINGLE = rf"(?=(.{{1,{SHINGLE_CHARS}}}))(?:[^ {UNSPACED}]{{1,{LONG_WORD}}}+|[{UNSPACED}]) *+"
+#: One shingle each match: the look-ahead takes its characters, the rest moves on by one. No stride, in no script.
+SPACED_SHINGLE = rf"(?s)(?=(.{{{SHINGLE_CHARS}}}|\A.{{1,{SHINGLE_CHARS - 1}}}(?!.)))."
 
 
 def shingles(line: Column) -> Column:
-    """The shingles of a line. The characters of unspaced scripts have three bytes, so most lines need the short pattern."""
-    few = F.octet_length(line) <= 2 * F.length(line)
-    spaced = F.regexp_extract_all(line, F.lit(SPACED_SHINGLE), F.lit(1))
-    return F.when(few, spaced).otherwise(F.regexp_extract_all(line, F.lit(ANY_SHINGLE), F.lit(1)))
+    return F.regexp_extract_all(line, F.lit(SPACED_SHINGLE), F.lit(1))
 
 
 def shingle_set(line: Column) -> Column:
@@ -88,8 +80,8 @@ def stars(members: DataFrame) -> DataFrame:
     return members.join(leads, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def sets_of(lines: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, s): the shingle sets of the lines ``ids``.
+def texts_of(lines: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, line, k): the text of the lines ``ids`` and the sizes of their shingle sets, which are many times the text.
 
     A set of at most ``SLOTS`` hash remainders of the wanted lines goes ahead by broadcast, so that most other lines are
     not shuffled; the join on both hashes decides.
@@ -99,36 +91,37 @@ def sets_of(lines: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
     near = lines.withColumn("slot", F.pmod("h1", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi")
     text = near.select("h1", "h2", F.col("doc_id").alias("first"), "line").join(wanted, ["h1", "h2", "first"])
     # A document may hold the line several times; the copies are equal.
-    return text.groupBy("id").agg(F.first(shingle_set(F.col("line"))).alias("s"))
+    return text.groupBy("id").agg(F.first("line").alias("line")).withColumn("k", F.size(shingle_set(F.col("line"))))
 
 
 def alike(left: Column, right: Column) -> Column:
-    """Whether two shingle sets have a Jaccard similarity of ``SIMILARITY`` or more; unequal sizes rule most pairs out."""
-    small, large = F.least(F.size(left), F.size(right)), F.greatest(F.size(left), F.size(right))
+    """Whether two shingle sets of sizes ka and kb have a Jaccard similarity of ``SIMILARITY`` or more; unequal sizes rule
+    most pairs out."""
+    small, large = F.least("ka", "kb"), F.greatest("ka", "kb")
     common = F.size(F.array_intersect(left, right))
     over, under = SIMILARITY
     return (under * small >= over * large) & ((under + over) * common >= over * (small + large))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose shingle sets are alike."""
-    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    return both.where(alike(F.col("sa"), F.col("sb"))).select("a", "b")
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose shingle sets are alike; the lines are shuffled, not their sets."""
+    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("k").alias("kb")), "b")
+    both = left.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("k").alias("ka")), "a")
+    return both.where(alike(shingle_set(F.col("la")), shingle_set(F.col("lb")))).select("a", "b")
 
 
 def line_classes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Signatures, and (id, label) of the distinct lines that are in a component of two or more."""
     signed = staged(signatures(lines), "signatures")
     members = staged(buckets(signed), "buckets")
-    sets = staged(sets_of(lines, signed, members.select("id").distinct()), "sets")
-    labels = staged(links_to_labels(verified(stars(members), sets), "lines"), "labels")
+    texts = staged(texts_of(lines, signed, members.select("id").distinct()), "texts")
+    labels = staged(links_to_labels(verified(stars(members), texts), "lines"), "labels")
     # What the stars left open: together in a bucket, in different components.
     placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = staged(placed.join(mixed, "key").join(sets, "id"), "open")
-    left = open_.select("key", F.col("label").alias("a"), F.col("s").alias("sa"))
-    right = open_.select("key", F.col("label").alias("b"), F.col("s").alias("sb"))
+    open_ = staged(placed.join(mixed, "key").join(texts, "id"), "open").withColumn("s", shingle_set(F.col("line")))
+    left = open_.select("key", F.col("label").alias("a"), F.col("k").alias("ka"), F.col("s").alias("sa"))
+    right = open_.select("key", F.col("label").alias("b"), F.col("k").alias("kb"), F.col("s").alias("sb"))
     more = left.join(right, "key").where((F.col("a") < F.col("b")) & alike(F.col("sa"), F.col("sb"))).select("a", "b")
     moved = links_to_labels(more, "components").select(F.col("node").alias("label"), F.col("label").alias("top"))
     first = labels.unionAll(moved.select(F.col("label").alias("node"), "label")).distinct()

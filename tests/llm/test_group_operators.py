@@ -85,6 +85,24 @@ def test_line_dedup_of_nothing_and_of_unspaced_text(spark):
     assert {r.doc_id: r.n_removed for r in linededup.dedup_report(frame(spark, data)).collect()} == {1: 0, 2: 0 if _jaccard(han, data[1][1]) < 0.8 else 1, 3: 0, 4: 0, None: 0}
 
 
+def test_line_dedup_sees_every_character(spark):
+    text = "A plain sentence of some length that two documents share but for one place in its last word, "
+    pairs = [
+        ("transaction_0001", "transaction_0002"),
+        ("2024-01-15T09:00:01", "2024-01-15T05:47:01"),
+        ("id\r" + "0123456789abcdef" * 2, "id\r" + "0123456789abXXXX" * 2),
+        ("short 1", "short 2"),
+        (text + "unremarkable", text + "unremarkably"),
+        (text[::-1] * 3 + "0123456789abcdefghij", text[::-1] * 3 + "0123456789abcdEFghij"),
+    ]
+    data = [(2 * i + k, line) for i, pair in enumerate(pairs) for k, line in enumerate(pair)]
+    every = lambda x: {x[i : i + 12] for i in range(max(1, len(x) - 11))}
+    alike = [len(every(a) & every(b)) >= 0.8 * len(every(a) | every(b)) for a, b in pairs]
+    assert alike == [False] * 4 + [True] * 2
+    found = {r.doc_id: r.n_removed for r in linededup.dedup_report(frame(spark, data)).collect()}
+    assert found == {2 * i + k: int(k and near) for i, near in enumerate(alike) for k in (0, 1)}
+
+
 def _jaccard(a, b):
     s, t = ({x[i : i + linededup.SHINGLE_CHARS] for i in range(len(x))} for x in (a, b))
     return len(s & t) / len(s | t)
