@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabsight.llm.common import let, staged
 
 #: Fixed values of the contract, in the order of its kinds. A local part starts a run or follows the match before it.
+#: Repeated groups are possessive, which finds the same: Java matches them in a loop, greedy ones by recursion.
 KINDS = ["email", "ip", "card", "phone"]
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
-CARD = r"[0-9](?:[\x20-]?[0-9])+"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PATTERNS = [EMAIL, IP, CARD, PHONE]
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"

@@ -63,6 +63,10 @@ NOTICE = "(?i)" + "|".join(NOTICES)
 _MARKS = r"[\x20\x09-\x0D|>»•·/-]*"
 MENU = rf"(?i)\A{_MARKS}(?:(?:{'|'.join(MENU_WORDS)}){_MARKS})+\z"
 BARS = r"\A(?:[^|»•>]{0,30}[|»•>]){3,}[^|»•>]{0,30}\z"
+#: The same two for Java, which matches possessive groups in a loop and greedy ones by recursion. No menu word begins another
+#: and no mark or bar is part of what it parts, so there is nothing to go back for.
+MENU_LOOP = rf"(?i)\A{_MARKS}+(?:(?:{'|'.join(MENU_WORDS)}){_MARKS}+)++\z"
+BARS_LOOP = r"\A(?:[^|»•>]{0,30}+[|»•>]){3,}+[^|»•>]{0,30}+\z"
 PLAIN = r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
 
 
@@ -78,7 +82,7 @@ def visible(text: Column) -> Column:
 def line_fails(line: Column) -> Column:
     """Whether a line that has a word fails a rule."""
     noise = let(visible(line), lambda n: 2 * F.length(F.regexp_replace(line, PLAIN, "")) >= n)
-    return line.rlike(NOTICE) | line.rlike(MENU) | line.rlike(BARS) | noise
+    return line.rlike(NOTICE) | line.rlike(MENU_LOOP) | line.rlike(BARS_LOOP) | noise
 
 
 def repeated_words(words: Column) -> Column:

@@ -72,6 +72,26 @@ def test_rare_words_disclose_nothing(spark):
     assert pii.sanitise(frame(spark, data)).where("doc_id = 1").first().text == "unique stranger [EMAIL]"
 
 
+def test_entities_of_very_long_runs(spark):
+    texts = ["7" * 20_000, "7 " * 100_000, "a@b" + ".c" * 100_000, "+1" + "2" * 20_000]
+    data = [(9110 + i, t + "\nx@y.org") for i, t in enumerate(texts)]
+    found = {r.doc_id: [tuple(s) for s in r.base] for r in pii.find(frame(spark, data)).collect()}
+    last = {d: ("email", len(t) - 7, len(t)) for d, t in data}
+    assert found == {d: [("email", 0, 200_003), last[d]] if d == 9112 else [last[d]] for d, _ in data}
+
+
+def test_quality_rules_of_very_long_lines(spark):
+    fails = ["home | " * 100_000, ">" * 99_999 + "x", "a | " * 100_000, "home" * 100_000]
+    holds = ["home | " * 100_000 + "x" * 31, "a | " * 100_000 + "abcd " * 7, "homely " * 100_000]
+    found = quality.assess(frame(spark, list(enumerate(fails + holds)))).collect()
+    assert {r.doc_id: r.n_failed_lines for r in found} == {i: int(i < len(fails)) for i in range(len(fails + holds))}
+    lines = ["Home > About", "home-", "LOGIN logout", "a|b|c", "a|b|c|", "|||", "x" * 31 + "|a|b|c", "a|b|" + "x" * 31 + "|", "about us", "faqmenu", "a > b > c > " + "y" * 30, "a > b > c >" + "y" * 31]
+    table = spark.createDataFrame([(x,) for x in lines], "line string")
+    for greedy, loop in ((quality.MENU, quality.MENU_LOOP), (quality.BARS, quality.BARS_LOOP)):
+        assert table.where(F.col("line").rlike(greedy) != F.col("line").rlike(loop)).count() == 0
+        assert 0 < table.where(F.col("line").rlike(loop)).count() < len(lines)
+
+
 def test_quality_measures(spark):
     data = rows() + AWKWARD
     found = {r.doc_id: r for r in quality.assess(frame(spark, data)).collect()}
