@@ -34,8 +34,13 @@ DISCOUNT = 0.75
 #: An n-gram of two or three words is kept from this count on.
 LEAST = 2
 FOLDS = 10
-#: One shard for so many documents.
+#: One shard for so many documents, or for so many bytes of text if that makes more shards.
 SHARD_DOCS = 15_000
+SHARD_BYTES = 32 << 20
+#: Beyond so many shards partial counts are summed by (shard, hash of the n-gram) before a shard's task gathers them.
+MERGE_FROM = 64
+#: Hash ranges of a shard's n-grams in that sum.
+PARTS = 16
 #: Tokens handled at once.
 RUN_TOKENS = 1_000_000
 #: A task's table of words starts anew beyond so many.
@@ -80,6 +85,10 @@ class Trie:
     present: frozenset = frozenset()
     files: dict = field(default_factory=dict)
 
+    @property
+    def parts(self) -> int:
+        return PARTS if self.shards > MERGE_FROM else 1
+
     def __getstate__(self):
         return self.__dict__ | {"files": {}}
 
@@ -174,7 +183,7 @@ def level_arrays(context: np.ndarray, word: np.ndarray, counts: np.ndarray, cont
 # --- what the map tasks do -------------------------------------------------------------------------------------------------
 
 
-def count_words(shards: int):
+def count_words(trie: Trie):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, int] = {}
         ends = 0
@@ -182,7 +191,7 @@ def count_words(shards: int):
         def rows():
             h = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts))
             c = np.fromiter(counts.values(), np.int64, len(counts))
-            return by_shard(shard_of_hash(h, shards), h, c)
+            return by_shard(shard_of_hash(h, trie.shards), h, c, trie.parts)
 
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
@@ -197,19 +206,21 @@ def count_words(shards: int):
             yield rows()
         if ends:
             h = np.array([END], np.uint64)
-            yield by_shard(shard_of_hash(h, shards), h, np.array([ends], np.int64))
+            yield by_shard(shard_of_hash(h, trie.shards), h, np.array([ends], np.int64), trie.parts)
 
     return run
 
 
-def by_shard(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """One row a shard: its keys and counts as bytes."""
-    order = np.argsort(shard, kind="stable")
-    own, first = runs(shard[order])
+def by_shard(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """One row a shard and hash range of its keys: keys and counts as bytes."""
+    part = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % parts
+    group = shard * parts + part
+    order = np.argsort(group, kind="stable")
+    own, first = runs(group[order])
     last = np.append(first[1:], len(order))
-    parts = [(int(s), keys[order[a:b]].tobytes(), counts[order[a:b]].astype(np.int64).tobytes()) for s, a, b in zip(own, first, last)]
-    columns = [pa.array([p[i] for p in parts], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
-    return pa.RecordBatch.from_arrays(columns, ["shard", "keys", "counts"])
+    rows = [(*divmod(int(g), parts), keys[order[a:b]].tobytes(), counts[order[a:b]].astype(np.int64).tobytes()) for g, a, b in zip(own, first, last)]
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, ["shard", "part", "keys", "counts"])
 
 
 def encode(trie: Trie):
@@ -286,7 +297,7 @@ def count_ngrams(trie: Trie, order: int):
                 keys, starts = pair[at - 1].astype(np.uint64) * trie.radix + ids[at].astype(np.uint64), trie.bigrams
             distinct, counts = np.unique(keys, return_counts=True)
             if len(distinct):
-                yield by_shard(np.searchsorted(starts, (distinct // trie.radix).astype(np.int64), "right") - 1, distinct, counts)
+                yield by_shard(np.searchsorted(starts, (distinct // trie.radix).astype(np.int64), "right") - 1, distinct, counts, trie.parts)
 
     return run
 
@@ -324,6 +335,12 @@ def gathered(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     return table.column("shard")[0].as_py(), *summed(keys, counts)
 
 
+def merge(table: pa.Table) -> pa.Table:
+    """The partial counts of one hash range of a shard as one row."""
+    shard, keys, counts = gathered(table)
+    return pa.table({"shard": [shard], "part": [table.column("part")[0].as_py()], "keys": [keys.tobytes()], "counts": [counts.tobytes()]})
+
+
 SIZES = "shard long, size long, tokens long"
 
 
@@ -356,6 +373,8 @@ def write_level(trie: Trie, order: int):
 
 def built(trie: Trie, level: str, counted: DataFrame, write) -> tuple[Trie, np.ndarray, int]:
     """Run the shards' tasks: the trie with its new files, where each shard's numbers begin, and the sum of all counts."""
+    if trie.parts > 1:
+        counted = counted.groupBy("shard", "part").applyInArrow(merge, COUNTED)
     done = counted.groupBy("shard").applyInArrow(write, SIZES).collect()  # one row a shard
     size = np.zeros(trie.shards + 1, np.int64)
     for r in done:
@@ -364,7 +383,7 @@ def built(trie: Trie, level: str, counted: DataFrame, write) -> tuple[Trie, np.n
     return replace(trie, present=present), np.cumsum(size), sum(r.tokens for r in done)
 
 
-COUNTED = "shard long, keys binary, counts binary"
+COUNTED = "shard long, part long, keys binary, counts binary"
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -377,9 +396,10 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     remainder = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % FOLDS
     texts = docs.select("doc_id", F.coalesce(remainder == 0, F.lit(True)).alias("held_out"), "text")
-    trie = Trie(shared_path(spark, "trie"), 1 + docs.count() // SHARD_DOCS)
+    volume = docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    trie = Trie(shared_path(spark, "trie"), 1 + max(volume.docs // SHARD_DOCS, volume.bytes // SHARD_BYTES))
 
-    counted = texts.where("not held_out").select("text").mapInArrow(count_words(trie.shards), COUNTED)
+    counted = texts.where("not held_out").select("text").mapInArrow(count_words(trie), COUNTED)
     trie, words, tokens = built(trie, "words", counted, write_words(trie.folder))
     trie = replace(trie, words=words, tokens=tokens)
     if trie.size >= (1 << 32) - 1:

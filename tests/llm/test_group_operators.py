@@ -163,6 +163,22 @@ def test_language_model_equals_its_formula(spark, monkeypatch):
         assert abs(r.score - exact) < 0.001 * len(t)  # quantised
 
 
+def test_language_model_shards_follow_the_bytes_of_text(spark, monkeypatch):
+    data = rows() + AWKWARD
+    seen = []
+    built = lmscore.built
+    monkeypatch.setattr(lmscore, "built", lambda trie, *rest: (seen.append(trie.shards), built(trie, *rest))[1])
+    columns = lambda: {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.score, 6)) for r in lmscore.score(frame(spark, data)).collect()}
+    whole = columns()
+    size = sum(len((t or "").encode()) for _, t in data)
+    monkeypatch.setattr(lmscore, "SHARD_BYTES", size // 5)
+    monkeypatch.setattr(lmscore, "RUN_TOKENS", 2_000)
+    cut = columns()
+    monkeypatch.setattr(lmscore, "MERGE_FROM", 2)
+    assert columns() == cut == whole
+    assert seen[:3] == [1] * 3 and min(seen[3:]) >= 6
+
+
 def test_language_model_without_training_rows(spark):
     held = next(i for i in range(100) if remainder(i, 10) == 0)
     found = lmscore.score(frame(spark, [(held, "some words")])).collect()
