@@ -1,7 +1,7 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 **Model.** Order three, interpolated absolute discounting: p(w|u,v) = a(u,v,w) + b(u,v) p(w|v), p(w|v) = a(v,w) + b(v) p(w),
-where a is the discounted relative frequency of an n-gram seen ``LEAST`` times and more, b what that leaves of the context's
+where a is the discounted relative frequency of an n-gram seen ``least`` times and more, b what that leaves of the context's
 mass, and p(w) = (c + 0.1) / (N + 0.1 (V + 1)). The token before a text's first is the end token.
 
 **Trie.** Words are numbered by hash. Level one holds word hashes, counts and b; level two the successors of each word, level
@@ -31,7 +31,7 @@ from tabsight.llm.eliasfano import ef_access, ef_encode, map_arrays, pack, runs,
 
 SMOOTH = 0.1
 DISCOUNT = 0.75
-#: An n-gram of two or three words is kept from this count on.
+#: An n-gram of two or three words is kept from this count on if the caller names none; 1 keeps all, as the query does.
 LEAST = 2
 FOLDS = 10
 #: One shard for so many documents, or for so many bytes of text if that makes more shards.
@@ -163,20 +163,23 @@ class Trie:
         return out
 
 
-def level_arrays(context: np.ndarray, word: np.ndarray, counts: np.ndarray, contexts: np.ndarray, radix: np.uint64) -> dict:
-    """A shard's level: ``context`` (local, sorted), ``word`` and ``counts`` of its n-grams, ``contexts`` the contexts' counts."""
+def level_arrays(context: np.ndarray, word: np.ndarray, counts: np.ndarray, contexts: np.ndarray, radix: np.uint64, last: bool) -> dict:
+    """A shard's level: ``context`` (local, sorted), ``word`` and ``counts`` of its n-grams, ``contexts`` the contexts' counts.
+
+    Nothing follows the ``last`` level's n-grams, so it needs no counts.
+    """
+    held = {} if last else {"c": counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64)}
     share = (counts - DISCOUNT) / np.maximum(contexts[context], 1)
     rest = 1 - np.bincount(context, share, len(contexts))
     pointers = np.searchsorted(context, np.arange(len(contexts) + 1))
     width = bit_width(int(radix))
     keys = context.astype(np.uint64) * radix + word
-    return ef_encode(pointers) | {
+    return ef_encode(pointers) | held | {
         "ids": pack(word, width),
         "width": np.array([width], np.int64),
         "sample": keys[::SAMPLE],
         "a": quantised(share),
         "b": quantised(rest),
-        "c": counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64),
     }
 
 
@@ -357,15 +360,15 @@ def write_words(folder: str):
     return run
 
 
-def write_level(trie: Trie, order: int):
+def write_level(trie: Trie, order: int, least: int):
     def run(table: pa.Table) -> pa.Table:
         shard, keys, counts = gathered(table)
-        kept = counts >= LEAST
+        kept = counts >= least
         keys, counts = keys[kept], counts[kept]
         level, starts, above = ("pairs", trie.words, "words") if order == 2 else ("triples", trie.bigrams, "pairs")
         context = (keys // trie.radix).astype(np.int64) - int(starts[shard])
         contexts = trie.file(f"{above}-{shard}")["c"].astype(np.float64)
-        write_arrays(trie.folder, f"{level}-{shard}", level_arrays(context, keys % trie.radix, counts, contexts, trie.radix))
+        write_arrays(trie.folder, f"{level}-{shard}", level_arrays(context, keys % trie.radix, counts, contexts, trie.radix, order == 3))
         return sizes(shard, len(keys), int(counts.sum()))
 
     return run
@@ -386,8 +389,8 @@ def built(trie: Trie, level: str, counted: DataFrame, write) -> tuple[Trie, np.n
 COUNTED = "shard long, part long, keys binary, counts binary"
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """One row a row of ``docs`` (doc_id, text): the contract's columns.
+def score(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """One row a row of ``docs`` (doc_id, text): the contract's columns, by a model of the n-grams seen ``least`` times.
 
     Null and empty texts are the end token alone. Rows without a doc_id are held out. Repeated rows are learned from and
     scored as often as they occur; other columns are not read; an empty table gives an empty result. With nothing to learn
@@ -410,11 +413,11 @@ def score(docs: DataFrame) -> DataFrame:
     numbered = staged(texts.mapInArrow(encode(trie), shown + ", ids binary"), "numbers")
     learned = numbered.where("not held_out").select("ids")
 
-    trie, bigrams, _ = built(trie, "pairs", learned.mapInArrow(count_ngrams(trie, 2), COUNTED), write_level(trie, 2))
+    trie, bigrams, _ = built(trie, "pairs", learned.mapInArrow(count_ngrams(trie, 2), COUNTED), write_level(trie, 2, least))
     trie = replace(trie, bigrams=bigrams)
     if int(trie.bigrams[-1]) * (trie.size + 1) >= 1 << 64:
         raise ValueError("keys of three words are 64-bit; this corpus has more bigrams times words")
-    trie, trigrams, _ = built(trie, "triples", learned.mapInArrow(count_ngrams(trie, 3), COUNTED), write_level(trie, 3))
+    trie, trigrams, _ = built(trie, "triples", learned.mapInArrow(count_ngrams(trie, 3), COUNTED), write_level(trie, 3, least))
 
     scored = numbered.mapInArrow(score_runs(trie, trigrams), shown + ", score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

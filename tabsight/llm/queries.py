@@ -47,7 +47,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.score(table(spark, sf_dir, "documents"))
+    return lmscore.score(table(spark, sf_dir, "documents"), least=1)
 
 
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

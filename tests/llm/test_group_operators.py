@@ -163,6 +163,30 @@ def test_language_model_equals_its_formula(spark, monkeypatch):
         assert abs(r.score - exact) < 0.001 * len(t)  # quantised
 
 
+def test_language_model_of_the_query_keeps_what_was_seen_once(spark, tmp_path):
+    from tabsight.llm.queries import QUERIES
+
+    data = [(i, t) for i, t in enumerate(["a b c d", "a b d c", "c a b b", "d d a", "x y z"] * 2 + ["q r s", "b c a"]) if remainder(i, 10)]
+    frame(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    one, two, three = Counter(), Counter(), Counter()
+    for _, t in data:
+        q = [None, *t.split(), None]
+        one.update(q[1:])
+        two.update(zip(q, q[1:]))
+        three.update(zip(q, q[1:], q[2:]))
+    assert {1} < set(two.values()) and {1} < set(three.values())
+    n, v = sum(one.values()), len(one)
+    p1 = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+    p2 = lambda a, w: (two[a, w] - 0.75) / one[a] + (1 - sum(c - 0.75 for k, c in two.items() if k[0] == a) / one[a]) * p1(w)
+    p3 = lambda a, b, w: (three[a, b, w] - 0.75) / two[a, b] + (1 - sum(c - 0.75 for k, c in three.items() if k[:2] == (a, b)) / two[a, b]) * p2(b, w)
+    found = {r.doc_id: r for r in QUERIES["op8_lm_score"](spark, str(tmp_path)).collect()}
+    assert len(found) == len(data)
+    for doc_id, t in data:
+        q = [None, *t.split(), None]
+        exact = math.log10(p2(None, q[1])) + sum(math.log10(p3(*x)) for x in zip(q, q[1:], q[2:]))
+        assert abs(found[doc_id].score - exact) < 0.001 * len(q)
+
+
 def test_language_model_shards_follow_the_bytes_of_text(spark, monkeypatch):
     data = rows() + AWKWARD
     seen = []
