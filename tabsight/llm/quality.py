@@ -4,8 +4,7 @@ All rules are expressions over one row's text, so the whole operator is one pass
 
 A line fails if it is *boilerplate* (a notice such as a licence, cookie or copyright line), *navigation* (a short line cut
 by bars, arrows or bullets, or one of menu words only), or if its *punctuation* is off (at least half of its visible
-characters are neither letters nor digits, or runs of three or more exclamation marks end many of its words). Lines without
-a word are kept as they are; they carry no text to lose. A document is rejected if its base test fails or if more than
+characters are neither letters nor digits). Lines without a word are kept as they are; they carry no text to lose. A document is rejected if its base test fails or if more than
 ``MOST_LOST`` of its visible characters were in failing lines.
 """
 
