@@ -43,7 +43,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(SHUFFLE_CLEANUP)
         else:
             spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
+
+
+def deleted(spark: SparkSession, *paths: str) -> None:
+    """Remove staged tables after their last reader."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsight.llm import decontaminate, langid, linededup, lmscore, pii, quality, sentencepieces, shards, simhash, urlfilter
+from tabsight.llm import decontaminate, heapmeans, langid, linededup, lmscore, multiset, pii, quality, sentencepieces, shards, simhash, turns, urlfilter
 
 #: The tokenizer's model; a parameter of the operator.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -58,6 +58,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op11_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heapmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.digest(multiset.compare_with_edits(table(spark, sf_dir, "documents")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sanitise": op1_sanitise,
     "op2_decontaminate": op2_decontaminate,
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_simhash": op10_simhash,
+    "op11_heap_clusters": op11_heap_clusters,
+    "op12_multiset_fingerprints": op12_multiset_fingerprints,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _Q = quality
