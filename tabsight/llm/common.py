@@ -97,8 +97,9 @@ def links_to_labels(links: DataFrame, name: str = "cc") -> DataFrame:
         large = both.join(small, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         down = large.join(least, "a")
-        edges = down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
-        edges = staged(edges.distinct(), f"{name}-edges")
+        hung = down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
+        before, edges = edges, staged(hung.distinct(), f"{name}-edges")
+        deleted(spark, before.staged_path)
         now = mark(edges)
         if now == seen:
             break

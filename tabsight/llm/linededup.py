@@ -1,68 +1,101 @@
 """Fuzzy line deduplication by MinHash: of every group of near-equal lines one stays.
 
-A line's shingles are its runs of ``SHINGLE_CHARS`` characters, one beginning at every character; a shorter line is its own
-shingle. Hashes of the shingles give a signature of ``BANDS`` x ``ROWS`` minima, lines that agree in a whole band are
+A line's shingles are the runs of ``SHINGLE_BYTES`` bytes of its UTF-8, one beginning at every byte, so at every character; a
+shorter line is its own shingle. Each shingle has one 64-bit hash, and ``MINIMA`` rotations of it order the shingles in as
+many ways; their minima are the signature. Bands are ``BANDS`` triples of minima, lines that agree in a whole band are
 candidates, candidates are verified by the exact Jaccard similarity of their shingle sets, and verified links go through a
-distributed union-find. A pair of similarity 0.8 becomes a candidate with probability 0.999.
+distributed union-find. At similarity 0.8 a pair becomes a candidate with probability 0.994 or more, from lines of nine shingles
+to lines of hundreds (simulated, see the tests), at 0.85 with 0.999. Memory for a line grows with its length: verifying holds a
+number a byte.
 
 No group is ever expanded into all its pairs. In a band's bucket every line is compared with one leader, the line that meets
-the most others over all its bands (among many near copies that is the text they come from). After the first union-find the
-lines that are in a bucket together but still in different components are compared inside a join that puts out links only.
-So every candidate pair is either verified itself or connected by verified links. Equal lines count once from the first
-shuffle on, whatever their number, and a bucket's leader is a grouped maximum.
-
-All steps are DataFrame expressions, grouped aggregates and joins; intermediate tables are staged in the shared folder.
+the most others over all its bands (among many near copies that is the text they come from). Lines that are in a bucket
+together but after that still in different components are compared as pairs in buckets of at most ``SMALL_BUCKET`` lines,
+and in larger ones inside a join that puts out links only. So every candidate pair is either verified itself or connected by
+verified links. Equal lines count once from the first shuffle on, and a bucket's leader is a grouped maximum.
+
+All steps are DataFrame expressions, grouped aggregates and joins. A document is known by the hash of its id and text, so
+rows that share an id only are told apart. Intermediate tables are staged in the shared folder and removed after their last
+reader; lines themselves are never staged, splitting the texts again is cheaper than their disk.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabsight.llm.common import links_to_labels, staged
+from tabsight.llm.common import deleted, let, links_to_labels, staged
 
-SHINGLE_CHARS = 12
+SHINGLE_BYTES = 12
 #: Least Jaccard similarity as a fraction, so that whole numbers are compared.
 SIMILARITY = (4, 5)
-BANDS, ROWS = 10, 3
+MINIMA, BANDS, ROWS = 16, 12, 3
+#: Shingles of a row of the signature's aggregate.
+PACK = 8
+SMALL_BUCKET = 32
 #: Slots of the set of wanted lines that is broadcast ahead of a join; more lines only fill it up.
 SLOTS = 1 << 20
 
-#: One shingle each match: the look-ahead takes its characters, the rest moves on by one. No stride, in no script.
-SPACED_SHINGLE = rf"(?s)(?=(.{{{SHINGLE_CHARS}}}|\A.{{1,{SHINGLE_CHARS - 1}}}(?!.)))."
-
 
-def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(SPACED_SHINGLE), F.lit(1))
+def band_triples(minima: int = MINIMA, bands: int = BANDS) -> list[tuple[int, ...]]:
+    """``bands`` triples of the minima that share as few pairs as they can and use all about equally often."""
+    used, met, out = [0] * minima, {}, []
+    for _ in range(bands):
+        cost = lambda t: (max(met.get(p, 0) for p in combinations(t, 2)), sum(used[i] for i in t))
+        best = min(combinations(range(minima), ROWS), key=cost)
+        out.append(best)
+        for i in best:
+            used[i] += 1
+        for p in combinations(best, 2):
+            met[p] = met.get(p, 0) + 1
+    return out
 
 
 def shingle_set(line: Column) -> Column:
-    return F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s)))
+    """The distinct hashes of a line's shingles."""
+
+    def hashes(raw: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(raw) - (SHINGLE_BYTES - 1)))
+        return F.transform(places, lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE_BYTES))))
+
+    return F.array_distinct(let(line.cast("binary"), hashes))
+
+
+def document_key() -> list[Column]:
+    """128 bits that name a document: its id and text. Rows that agree in both are one document."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2")]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, no, line, h1, h2) of every line with a visible character; blanks at its ends do not count.
+    """(doc_id, k1, k2, no, line, h1, h2) of every line with a visible character; blanks at its ends do not count.
 
-    The two hashes are 128 bits that name the line.
+    h1 and h2 are 128 bits that name the line.
     """
-    split = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    lines = split.select("doc_id", "no", F.btrim("line", F.lit(" \t\r\x0b\x0c")).alias("line")).where("line <> ''")
+    split = docs.select("doc_id", *document_key(), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    lines = split.select("doc_id", "k1", "k2", "no", F.btrim("line", F.lit(" \t\r\x0b\x0c")).alias("line")).where("line <> ''")
     return lines.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
+def rotated(hash_: Column, bits: int) -> Column:
+    return F.shiftleft(hash_, bits).bitwiseOR(F.shiftrightunsigned(hash_, 64 - bits)) if bits else hash_
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """(id, h1, h2, first, n, bands): a row a distinct line, with its smallest document and its number of occurrences.
 
-    The minima are grouped aggregates of exploded shingles, so equal lines already meet in the map-side combine.
+    Rows of ``PACK`` neighbouring shingles carry the least of each rotation into a grouped minimum, so equal lines already
+    meet in the map-side combine.
     """
-    keyed = lines.select("doc_id", "h1", "h2", F.posexplode(shingles(F.col("line"))).alias("p", "s"))
-    parts = keyed.select("doc_id", "h1", "h2", "p", F.hash("s").alias("x0"))
-    for r in range(1, ROWS):
-        parts = parts.select("*", F.hash(f"x{r - 1}").alias(f"x{r}"))
-    # Each row of a band has a hash of its own; a band's constant, with high bits of its own, gives it another order.
-    order = [(b << 28) - (1 << 31) | 0x5BD1E95 * (b + 1) & 0xFFFFFFF for b in (16 * i // BANDS for i in range(BANDS))]
-    minima = [F.min(F.col(f"x{r}").bitwiseXOR(F.lit(order[b]))).alias(f"m{b * ROWS + r}") for b in range(BANDS) for r in range(ROWS)]
-    found = parts.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count_if(F.col("p") == 0).alias("n"), *minima)
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
+    raw = lines.select("doc_id", "h1", "h2", F.col("line").cast("binary").alias("raw"))
+    sized = raw.withColumn("last", F.greatest(F.lit(1), F.octet_length("raw") - (SHINGLE_BYTES - 1)))
+    placed = sized.select("*", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(PACK))).alias("at"))
+    shingle = lambda k: F.substring("raw", F.least(F.col("at") + k, F.col("last")), F.lit(SHINGLE_BYTES))
+    hashed = placed.select("doc_id", "h1", "h2", "at", *[F.xxhash64(shingle(k)).alias(f"x{k}") for k in range(PACK)])
+    least = lambda m: F.least(*[rotated(F.col(f"x{k}"), 64 // MINIMA * m) for k in range(PACK)])
+    minima = [F.min(least(m)).alias(f"m{m}") for m in range(MINIMA)]
+    found = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count_if(F.col("at") == 1).alias("n"), *minima)
+    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{m}" for m in triple]) for b, triple in enumerate(band_triples())])
     return found.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "n", bands.alias("bands"))
 
 
@@ -80,83 +113,118 @@ def stars(members: DataFrame) -> DataFrame:
     return members.join(leads, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
 
 
+def only_wanted(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines whose hash falls into a slot of the ``wanted`` lines: a set of at most ``SLOTS`` numbers goes ahead by
+    broadcast, so that most other lines are not shuffled. A join on both hashes decides after this."""
+    slots = wanted.select(F.pmod("h1", F.lit(SLOTS)).alias("slot")).distinct()
+    return lines.withColumn("slot", F.pmod("h1", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+
+
 def texts_of(lines: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, line, k): the text of the lines ``ids`` and the sizes of their shingle sets, which are many times the text.
+    """(id, line, k): the text of the lines ``ids`` and the sizes of their shingle sets, which are many times the text."""
+    wanted = staged(signed.join(ids, "id").select("id", "h1", "h2"), "wanted")
+    text = only_wanted(lines, wanted).groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    texts = staged(text.join(wanted, ["h1", "h2"]).select("id", "line", F.size(shingle_set(F.col("line"))).alias("k")), "texts")
+    deleted(lines.sparkSession, wanted.staged_path)
+    return texts
 
-    A set of at most ``SLOTS`` hash remainders of the wanted lines goes ahead by broadcast, so that most other lines are
-    not shuffled; the join on both hashes decides.
-    """
-    wanted = staged(signed.join(ids, "id").select("id", "h1", "h2", "first"), "wanted")
-    slots = wanted.select(F.pmod("h1", F.lit(SLOTS)).alias("slot")).distinct()
-    near = lines.withColumn("slot", F.pmod("h1", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi")
-    text = near.select("h1", "h2", F.col("doc_id").alias("first"), "line").join(wanted, ["h1", "h2", "first"])
-    # A document may hold the line several times; the copies are equal.
-    return text.groupBy("id").agg(F.first("line").alias("line")).withColumn("k", F.size(shingle_set(F.col("line"))))
+
+def near_sizes() -> Column:
+    """Whether the sizes ka and kb allow the similarity; unequal sizes rule most pairs out."""
+    over, under = SIMILARITY
+    return under * F.least("ka", "kb") >= over * F.greatest("ka", "kb")
 
 
 def alike(left: Column, right: Column) -> Column:
-    """Whether two shingle sets of sizes ka and kb have a Jaccard similarity of ``SIMILARITY`` or more; unequal sizes rule
-    most pairs out."""
-    small, large = F.least("ka", "kb"), F.greatest("ka", "kb")
-    common = F.size(F.array_intersect(left, right))
+    """Whether two shingle sets of sizes ka and kb have a Jaccard similarity of ``SIMILARITY`` or more."""
     over, under = SIMILARITY
-    return (under * small >= over * large) & ((under + over) * common >= over * (small + large))
+    common = F.size(F.array_intersect(left, right))
+    return near_sizes() & ((under + over) * common >= over * (F.col("ka") + F.col("kb")))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose shingle sets are alike; the lines are shuffled, not their sets."""
-    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("k").alias("kb")), "b")
-    both = left.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("k").alias("ka")), "a")
+    """The ``pairs`` (a, b) whose shingle sets are alike; sizes are compared first, then lines are shuffled, not their sets."""
+    sizes = texts.select("id", "k")
+    near = pairs.join(sizes.toDF("b", "kb"), "b").join(sizes.toDF("a", "ka"), "a").where(near_sizes())
+    both = near.join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b").join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
     return both.where(alike(shingle_set(F.col("la")), shingle_set(F.col("lb")))).select("a", "b")
 
 
+def left_open(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between labels: lines that are in a bucket together, in different components, and alike."""
+    spark = members.sparkSession
+    placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    open_ = staged(placed.join(mixed, "key").join(texts.select("id", "k"), "id"), "open")
+
+    few = open_.where(F.col("n") <= SMALL_BUCKET)
+    left, right = (few.select("key", *[F.col(c).alias(c[0] + x) for c in ("id", "label", "k")]) for x in "ab")
+    met = left.join(right, "key").where((F.col("la") < F.col("lb")) & near_sizes())
+    pairs = staged(met.select("ia", "ib", "la", "lb").distinct(), "pairs")
+    alike_ = verified(pairs.select(F.col("ia").alias("a"), F.col("ib").alias("b")), texts)
+    few_links = alike_.join(pairs, (F.col("a") == F.col("ia")) & (F.col("b") == F.col("ib"))).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+
+    many = open_.where(F.col("n") > SMALL_BUCKET).join(texts.select("id", "line"), "id").withColumn("s", shingle_set(F.col("line")))
+    left, right = (many.select("key", F.col("label").alias(x), F.col("k").alias(f"k{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
+    many_links = left.join(right, "key").where((F.col("a") < F.col("b")) & alike(F.col("sa"), F.col("sb"))).select("a", "b")
+    links = staged(few_links.unionAll(many_links).distinct(), "links")
+    deleted(spark, open_.staged_path, pairs.staged_path)
+    return links
+
+
 def line_classes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Signatures, and (id, label) of the distinct lines that are in a component of two or more."""
+    """(id, h1, h2, first, n) of the distinct lines, and (id, label) of those in a component of two or more."""
+    spark = lines.sparkSession
     signed = staged(signatures(lines), "signatures")
     members = staged(buckets(signed), "buckets")
-    texts = staged(texts_of(lines, signed, members.select("id").distinct()), "texts")
+    texts = texts_of(lines, signed, members.select("id").distinct())
     labels = staged(links_to_labels(verified(stars(members), texts), "lines"), "labels")
-    # What the stars left open: together in a bucket, in different components.
-    placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = staged(placed.join(mixed, "key").join(texts, "id"), "open").withColumn("s", shingle_set(F.col("line")))
-    left = open_.select("key", F.col("label").alias("a"), F.col("k").alias("ka"), F.col("s").alias("sa"))
-    right = open_.select("key", F.col("label").alias("b"), F.col("k").alias("kb"), F.col("s").alias("sb"))
-    more = left.join(right, "key").where((F.col("a") < F.col("b")) & alike(F.col("sa"), F.col("sb"))).select("a", "b")
+    more = left_open(members, labels, texts)
+    deleted(spark, members.staged_path, texts.staged_path)
     moved = links_to_labels(more, "components").select(F.col("node").alias("label"), F.col("label").alias("top"))
     first = labels.unionAll(moved.select(F.col("label").alias("node"), "label")).distinct()
     final = first.join(moved, "label", "left").select(F.col("node").alias("id"), F.coalesce("top", "label").alias("label"))
-    return signed, staged(final, "classes")
+    classes = staged(final, "classes")
+    deleted(spark, more.staged_path, labels.staged_path)
+    return signed, classes
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed): the line numbers, from 0, that each document loses; documents that lose none have no row.
+    """(k1, k2, removed): the line numbers, from 0, that each document loses; documents that lose none have no row.
 
-    Of a component the occurrence with the smallest doc_id stays, in that document the first.
+    Of a component the occurrence in the document with the smallest doc_id stays (null is the largest; equal ids by their
+    keys), in that document the first.
     """
-    lines = staged(lines_of(docs.select("doc_id", "text")), "lines")
+    spark = docs.sparkSession
+    lines = lines_of(docs.select("doc_id", "text"))
     signed, classes = line_classes(lines)
     grouped = signed.join(classes, "id", "left").where("n > 1 or label is not null")
     grouped = grouped.select("h1", "h2", "first", F.coalesce("label", "id").alias("label"))
     owners = grouped.groupBy("label").agg(F.min("first").alias("owner"))
     known = staged(grouped.join(owners, "label").select("h1", "h2", "label", "owner"), "repeated")
-    found = lines.select("doc_id", "no", "h1", "h2").join(known, ["h1", "h2"]).select("doc_id", "no", "label", "owner")
-    found = staged(found, "occurrences")
-    # One row a component: the first of its lines in the owner's text.
-    kept = found.where("doc_id = owner").groupBy("label").agg(F.min("no").alias("kept"))
-    marked = found.join(kept, "label").where("doc_id <> owner or no <> kept")
-    return marked.groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("removed"))
+    deleted(spark, signed.staged_path, classes.staged_path)
+    found = only_wanted(lines.select("doc_id", "k1", "k2", "no", "h1", "h2"), known)
+    places = ["k1", "k2", "no", "h1", "h2"]
+    # Which occurrence stays is worked out a line first; a line's many occurrences only meet their own line, never a label.
+    found = staged(found.join(known, ["h1", "h2"]).select(*places, F.col("doc_id").eqNullSafe(F.col("owner")).alias("owns")), "occurrences")
+    least = found.where("owns").groupBy("h1", "h2").agg(F.min(F.struct("k1", "k2", "no")).alias("least"))
+    kept = known.join(least, ["h1", "h2"]).groupBy("label").agg(F.min("least").alias("kept"))
+    stays = staged(known.join(kept, "label").select("h1", "h2", "kept"), "kept")
+    marked = found.join(stays, ["h1", "h2"]).where("k1 <> kept.k1 or k2 <> kept.k2 or no <> kept.no")
+    removed = staged(marked.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("no")).alias("removed")), "removed")
+    deleted(spark, known.staged_path, found.staged_path, stays.staged_path)
+    return removed
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """One row a row of ``docs`` (doc_id, text): doc_id, n_lines, n_removed, removed.
 
-    Null texts have no lines; lines without a visible character are never removed. Rows without a doc_id lose nothing and
-    stand for nothing; rows that share a doc_id are one document and lose the same lines. Other columns are not read, an
-    empty table gives an empty result.
+    Null texts have no lines; lines without a visible character are never removed. Rows that agree in doc_id and text are one
+    document and lose the same lines; rows that share only the doc_id are documents of their own, and so are those without a
+    doc_id, which come last. Other columns are not read, an empty table gives an empty result.
     """
-    narrow = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    found = narrow.join(removed_lines(docs), "doc_id", "left")
+    narrow = docs.select("doc_id", *document_key(), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    found = narrow.join(removed_lines(docs), ["k1", "k2"], "left")
     removed = F.coalesce("removed", F.expr("cast(array() as array<int>)"))
     return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
@@ -164,7 +232,7 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 def drop_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines; a document that loses all its lines keeps an empty text."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    found = docs.select(row.alias("row"), "doc_id", "text").join(removed_lines(docs), "doc_id", "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    found = docs.select(row.alias("row"), *document_key()).join(removed_lines(docs), ["k1", "k2"], "left")
+    kept = F.filter(F.split(F.col("row.text"), "\n"), lambda line, i: ~F.array_contains("removed", i))
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     return found.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
