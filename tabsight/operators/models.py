@@ -284,7 +284,13 @@ def cross_validate(
             test = df.where((F.col("fold") == fold) & (F.col("role") == "test"))
         else:
             train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
-        fitted, use_log, labels, encoded = _prepare(train, recipe, target, task, key, resample, seed)
+        try:
+            fitted, use_log, labels, encoded = _prepare(train, recipe, target, task, key, resample, seed)
+        except Exception as error:  # noqa: BLE001 - no candidate can be trained on a fold that cannot be prepared
+            log.warning("fold %s could not be prepared: %s", fold, error)
+            for c in candidates:
+                errors.setdefault(c.name, str(error).splitlines()[0][:200])
+            return []
         encoded = encoded.persist()
         held_out = fitted.transform(test, [key, target]).persist()
         n = encoded.count()

@@ -37,20 +37,20 @@ def _uniform(*parts: Column) -> Column:
 def smote(train: DataFrame, key: str, target: str, features: str = "features", k: int | None = None, seed: int = 42) -> DataFrame:
     """``train`` (key, target, features as array<double>) plus synthetic rows so that all classes are equal.
 
-    Only rows of ``train`` are looked at. Adds ``synthetic`` and, for new rows, ``base`` and ``neighbour`` keys.
+    Only rows of ``train`` are looked at; its keys may have any type. Adds ``synthetic`` and, for new rows, ``base`` and ``neighbour`` keys.
     """
     counts = {r[target]: r["n"] for r in train.groupBy(target).agg(F.count(F.lit(1)).alias("n")).collect()}
     top, low = max(counts.values()), min(counts.values())
     k = k or max(1, min(NEIGHBOURS, low - 2))
-    none = F.lit(None).cast("long")
+    none = F.lit(None).cast(train.schema[key].dataType)
     out = train.select(
-        F.col(key).cast("long").alias(key), target, features, F.lit(False).alias("synthetic"), none.alias("base"), none.alias("neighbour")
+        key, target, features, F.lit(False).alias("synthetic"), none.alias("base"), none.alias("neighbour")
     )
     for label, n in counts.items():
         need = top - n
         if not need:
             continue
-        members = train.where(F.col(target) == F.lit(label)).select(F.col(key).cast("long").alias("key"), F.col(features).alias("x"))
+        members = train.where(F.col(target) == F.lit(label)).select(F.col(key).alias("key"), F.col(features).alias("x"))
         whole, extra = divmod(need, n)
         placed = hashed_ordinal(members, ["key"], seed, name="_i")
         draws = (F.lit(whole) + F.when(F.col("_i") <= extra, 1).otherwise(0)).cast("int")

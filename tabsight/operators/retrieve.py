@@ -137,13 +137,13 @@ def search_batch(
     queries and vectors are cut into blocks and each pair of blocks emits k rows per query, never all pairs.
     """
     spark = vectors.sparkSession
-    v = vectors.select(F.col(key).cast("long").alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("x"))
-    q = queries.select(F.col(query_key).cast("long").alias("query"), F.transform(query_vector, lambda x: x.cast("double")).alias("q"))
-    out = "query long, key long, distance double"
+    v = vectors.select(F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("x"))
+    q = queries.select(F.col(query_key).alias("query"), F.transform(query_vector, lambda x: x.cast("double")).alias("q"))
+    out = f"query {q.schema['query'].dataType.simpleString()}, key {v.schema['key'].dataType.simpleString()}, distance double"
 
     if is_small(q) if small is None else small:
         rows = q.collect()
-        names = np.array([r["query"] for r in rows])
+        names = pd.Series([r["query"] for r in rows]).to_numpy()
         shared = spark.sparkContext.broadcast((names, _unit(np.array([r["q"] for r in rows], dtype=float))))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,11 +181,16 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _nearest(names: np.ndarray, queries: np.ndarray, keys: np.ndarray, unit: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of one block per query, ties by key."""
+    """The k best of one block per query, ties by key: only distances up to the k-th smallest are sorted."""
     parts = []
     for start in range(0, len(queries), 256):
         d = 1 - queries[start : start + 256] @ unit.T
-        for i, row in enumerate(d):
-            order = np.lexsort((keys, row))[:k]
-            parts.append((np.full(len(order), names[start + i]), keys[order], row[order]))
+        last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        who, at = np.nonzero(d <= last[:, None])
+        rank = np.unique(keys[at], return_inverse=True)[1]
+        order = np.lexsort((rank, d[who, at], who))
+        who, at = who[order], at[order]
+        best = np.arange(len(who)) - np.searchsorted(who, who) < k
+        who, at = who[best], at[best]
+        parts.append((names[start + who], keys[at], d[who, at]))
     return pd.DataFrame({n: np.concatenate([p[j] for p in parts]) for j, n in enumerate(("query", "key", "distance"))})

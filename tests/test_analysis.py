@@ -55,6 +55,29 @@ def test_time_ordered_and_oversampled(spark):
     assert "folds: TimeSeriesSplit" in out.notes and out.leaderboard.where("is_winner").first()["score"] > 0.6
 
 
+def test_text_keys_and_uneven_classes(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"listing {i:04d}", float(rng.normal()) + (2.0 if i % 5 == 0 else 0.0), float(rng.normal()), "yes" if i % 5 == 0 else "no") for i in range(200)]
+    df = spark.createDataFrame(rows, "id string, x double, z double, sold string")
+    out = analyse(df, "id", "sold", plan=Plan(folds=3, cluster=False, candidates=H.roster("classification", **QUICK)[1:]))
+    assert out.leaderboard.where("error <> ''").count() == 0 and out.leaderboard.where("is_winner").first()["score"] > 0.6
+
+
+def test_a_fold_that_cannot_be_prepared_is_reported(spark, rent, monkeypatch):
+    prepare = H._prepare
+
+    def broken(train, *rest):
+        if train.where("fold = 1").isEmpty():
+            raise RuntimeError("no such fold")
+        return prepare(train, *rest)
+
+    monkeypatch.setattr(H, "_prepare", broken)
+    recipe = H.Recipe([])
+    df = rent.withColumn("fold", F.col("id") % 2)
+    predictions, errors = H.cross_validate(df, recipe, "rent", "regression", "id", [c for c in H.roster("regression", **QUICK) if c.is_baseline])
+    assert set(errors.values()) == {"no such fold"} and predictions.count() == 0
+
+
 def test_entry_and_every_query_is_declared(spark, folder):
     import __spark_entry__ as entry
 

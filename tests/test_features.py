@@ -9,7 +9,7 @@ from tabsight.operators import recipe as R
 from tabsight.operators import split as G
 from tabsight.operators import strategy as S
 from tabsight.operators import target as Y
-from tabsight.operators.neighbours import nearest
+from tabsight.operators.neighbours import near_pairs, nearest
 from tabsight.operators.resample import refusal, smote
 from tabsight.operators.text import TextTopics, Tfidf
 
@@ -187,6 +187,50 @@ def test_neighbours_match_brute_force(spark, block):
         assert np.allclose(spread, np.sort(full[i])[:k])
 
 
+def test_neighbours_of_text_keys_in_many_cells(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(np.vstack([rng.normal(c, 0.3, (60, 4)) for c in range(0, 40, 4)]), 2)
+    df = spark.createDataFrame([(f"row {i}", [float(v) for v in r]) for i, r in enumerate(x)], "key string, x array<double>")
+    report = {}
+    got = nearest(df, 3, report=report).toPandas()
+    full = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(full, np.inf)
+    for i in range(len(x)):
+        mine = got[got["key"] == f"row {i}"].sort_values(["distance", "neighbour"])
+        names = sorted(range(len(x)), key=lambda j: (full[i, j], f"row {j}"))[:3]
+        if len(set(map(tuple, x))) == len(x):
+            assert list(mine["neighbour"]) == [f"row {j}" for j in names]
+        assert np.allclose(mine["distance"], np.sort(full[i])[:3])
+    assert report["pairs"] < len(x) ** 2 / 4
+
+
+def test_ball_tree_finds_all_near_pairs():
+    rng = np.random.default_rng(8)
+    for n, dims, k in ((300, 3, 4), (700, 16, 5), (50, 2, 60), (1, 3, 2)):
+        points, own = np.round(rng.normal(size=(n, dims)), 1), np.full(40, -1)
+        x = np.round(rng.normal(size=(40, dims)), 1)
+        x[:1], own[:1] = points[:1], 0
+        who, at, distance = near_pairs(x, np.full(40, np.inf), points, k, own)
+        d = np.sqrt(((x[:, None] - points[None]) ** 2).sum(2))
+        d[0, 0] = np.inf
+        for q in range(40):
+            kth = np.sort(d[q])[min(k, n) - 1]
+            assert {j for j in range(n) if d[q, j] <= kth and np.isfinite(d[q, j])} <= set(at[who == q])
+        assert np.allclose(distance, d[who, at], rtol=1e-12)
+
+
+@pytest.mark.parametrize("key", ["'k' || id", "cast(id AS int)", "cast(id AS date)"])
+def test_smote_takes_any_key(spark, key):
+    if "date" in key:
+        key = "date_add(DATE '2020-01-01', cast(id AS int))"
+    rows = [(i, "no" if i < 40 else "yes", [float(i % 7), float(i % 5)]) for i in range(52)]
+    train = spark.createDataFrame(rows, "id long, y string, features array<double>").selectExpr(f"{key} AS id", "y", "features")
+    out = smote(train, "id", "y")
+    assert {r["y"]: r["count"] for r in out.groupBy("y").count().collect()} == {"no": 40, "yes": 40}
+    keys = {r["id"]: r["y"] for r in train.collect()}
+    assert all(keys[r["base"]] == keys[r["neighbour"]] == "yes" for r in out.where("synthetic").collect())
+
+
 def test_smote_balances_on_segments(spark):
     rng = np.random.default_rng(7)
     rows = [(i, "no", [float(v) for v in rng.normal(0, 1, 2)]) for i in range(60)]

@@ -135,6 +135,11 @@ def test_batch_search_ways_agree(spark, folder):
         sorted((r["query"], r["position"], r["key"]) for r in L.search_batch(vectors, queries, "vec_id", "embedding", k=3, small=s).collect()) for s in (True, False)
     )
     assert a == b and all(q == k for q, p, k in a if p == 1)
+    named = vectors.selectExpr("'v' || lpad(vec_id, 9, '0') AS vec_id", "embedding")
+    asked = queries.where("query < 40").selectExpr("'v' || lpad(query, 9, '0') AS query", "q")
+    for small in (True, False):
+        found = L.search_batch(named, asked, "vec_id", "embedding", k=3, small=small).collect()
+        assert sorted((int(r["query"][1:]), r["position"], int(r["key"][1:])) for r in found) == [t for t in a if t[0] < 40]
     single = L.search(vectors, vectors.where("vec_id = 7").first()["embedding"], "vec_id", "embedding", k=3)
     assert [r["vec_id"] for r in single.collect()] == [k for q, p, k in a if q == 7]
 
