@@ -26,7 +26,7 @@ def sql_number(x):
 def sql_date(x):
     return (
         f"CASE WHEN regexp_matches(trim({x}), '[-/:\\s.]') THEN coalesce(try_strptime(trim({x}), '%Y-%m-%d'), "
-        f"try_strptime(trim({x}), '%d/%m/%Y'), try_strptime(trim({x}), '%B %-d, %Y')) END"
+        f"try_strptime(trim({x}), '%m/%d/%Y'), try_strptime(trim({x}), '%d/%m/%Y'), try_strptime(trim({x}), '%B %-d, %Y')) END"
     )
 
 
@@ -371,6 +371,42 @@ def _(spark, d):
     return dirty(spark, d).select("event_id", parse_datetime(F.col("date_text")).alias("day"))
 
 
+#: Layouts of a date, each with the SQL of what it says; the texts are made from the events' times and parsed again.
+_DAY = "date_trunc('day', ts)"
+_SWAPPED = f"CASE WHEN day(ts) <= 12 THEN make_timestamp(year(ts), day(ts), month(ts), 0, 0, 0) ELSE {_DAY} END"
+DATE_LAYOUTS = (
+    ("yyyy-MM-dd", _DAY),
+    ("yyyy-MM-dd HH:mm", "date_trunc('minute', ts)"),
+    ("yyyy-MM-dd HH:mm:ss", "date_trunc('second', ts)"),
+    ("yyyy-MM-dd'T'HH:mm:ss'Z'", "date_trunc('second', ts)"),
+    ("yyyy-MM-dd'T'HH:mm:ss.SSS'+02:30'", "date_trunc('millisecond', ts) - INTERVAL 150 MINUTE"),
+    ("MM/dd/yyyy", _DAY),
+    ("dd/MM/yyyy", _SWAPPED),
+    ("dd.MM.yyyy HH:mm", f"CASE WHEN day(ts) <= 12 THEN {_SWAPPED} + (date_trunc('minute', ts) - {_DAY}) ELSE date_trunc('minute', ts) END"),
+    ("dd MMM yyyy", _DAY),
+    ("MMMM d, yyyy", _DAY),
+    ("EEE, MMM d, yyyy h:mm a", "date_trunc('minute', ts)"),
+    ("yyyy/M/d", _DAY),
+    ("d-MMM-yy", _DAY),
+    ("MMMM yyyy", "date_trunc('month', ts)"),
+)
+
+
+@query(
+    "c8_date_layouts",
+    f"SELECT event_id, CASE event_id % {len(DATE_LAYOUTS)} "
+    + " ".join(f"WHEN {i} THEN {said}" for i, (_, said) in enumerate(DATE_LAYOUTS))
+    + " END AS moment FROM events",
+)
+def _(spark, d):
+    from tabsight.functions.columns import parse_datetime
+
+    text = F.lit(None).cast("string")
+    for i, (layout, _) in enumerate(DATE_LAYOUTS):
+        text = F.when(F.col("event_id") % len(DATE_LAYOUTS) == i, F.date_format("ts", layout)).otherwise(text)
+    return table(spark, d, "events").select("event_id", parse_datetime(text).alias("moment"))
+
+
 @query("c9_drop_constant", WITH_DIRTY + " SELECT event_id, value, label FROM dirty")
 def _(spark, d):
     return C.drop_constant(dirty(spark, d).select("event_id", "value", "label", "constant"), "value")

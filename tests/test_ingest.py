@@ -152,9 +152,35 @@ def test_mixed_dates(spark):
 
     from tabsight.functions.columns import parse_datetime
 
-    df = spark.createDataFrame([("2024-03-09",), ("09/03/2024",), ("March 9, 2024",), ("soon",), ("1000",)], "d string")
-    got = [r[0] for r in df.select(parse_datetime(F.col("d"))).collect()]
-    assert got == [dt.datetime(2024, 3, 9)] * 3 + [None, None]
+    said = {
+        "2024-03-09": (2024, 3, 9),
+        "03/09/2024": (2024, 3, 9),
+        "05/03/2024": (2024, 5, 3),
+        "15/01/2024": (2024, 1, 15),
+        "1/5/24": (2024, 1, 5),
+        "1-5-69": (1969, 1, 5),
+        "15.01.2024 7:05": (2024, 1, 15, 7, 5),
+        "2024-01-15 09:00": (2024, 1, 15, 9),
+        "2024/1/5": (2024, 1, 5),
+        "15 Jan 2024": (2024, 1, 15),
+        "15th of January, 2024": (2024, 1, 15),
+        "  March 9, 2024 ": (2024, 3, 9),
+        "Sept. 9 2024": (2024, 9, 9),
+        "Monday, January 15, 2024 12:30 AM": (2024, 1, 15, 0, 30),
+        "jan 15, 2024 12:30 pm": (2024, 1, 15, 12, 30),
+        "2024-01-15T09:00:01Z": (2024, 1, 15, 9, 0, 1),
+        "2024-01-15T09:00:01.5": (2024, 1, 15, 9, 0, 1, 500000),
+        "2024-01-15 00:30:00.123456789-0500": (2024, 1, 15, 5, 30, 0, 123456),
+        "2024-01-15T00:30+01": (2024, 1, 14, 23, 30),
+        "29 February 2024": (2024, 2, 29),
+        "2024-01-15 09:00 UTC": (2024, 1, 15, 9),
+        "01/15/2024 09:00:00gmt": (2024, 1, 15, 9),
+        "15-Jan-24 9:00 +0130": (2024, 1, 15, 7, 30),
+    }
+    wrong = ["soon", "1000", "20240109", "2024-02-30", "13/13/2024", "29 February 2023", "2024-01/15", "2024-01-15 25:00", "12.5", "1.2.3.4", "Mayor 5, 2024", "", None]
+    df = spark.createDataFrame([(x,) for x in [*said, *wrong]], "d string")
+    got = {r[0]: r[1] for r in df.select("d", parse_datetime(F.col("d"))).collect()}
+    assert got == {x: dt.datetime(*y) for x, y in said.items()} | dict.fromkeys(wrong)
 
 
 def test_guard(spark):
