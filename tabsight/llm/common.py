@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,22 +28,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: lineage is cut, a lost executor loses nothing.
-
-    The shuffle files of the write are dropped when it ends, since nothing reads them a second time.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files are dropped when it ends, since nothing reads them a second time."""
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(SHUFFLE_CLEANUP)
         else:
             spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it again: lineage is cut, a lost executor loses nothing.
+
+    The shuffle files of the write are dropped when it ends.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.staged_path = path
     return table

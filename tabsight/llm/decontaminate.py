@@ -241,9 +241,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, near: bool = True, siz
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any word inside a test window; rows with a null doc_id stay."""
-    hit = find_contamination(docs, items, near=False).where(F.size("hit") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+    """The rows of ``docs`` without any word inside a test window; the text decides, whatever the doc_id."""
+    key = F.concat(F.hex(F.xxhash64("text")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "text")))
+    found = find_contamination(docs.select(key.alias("doc_id"), "text"), items, near=False)
+    hit = found.where(F.size("hit") > 0).select(F.col("doc_id").alias("key")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.select(row.alias("row"), key.alias("key")).join(hit, "key", "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -23,10 +23,9 @@ UNKNOWN = "und"
 BUCKETS = 1 << 16
 WIDTH = 16
 GRAMS = (2, 3, 4)
-#: Labelled rows of each language that the fit reads, about; and the longest text among them, in bytes.
+#: Labelled rows of each language that the fit reads, about, whatever their length.
 ROWS_A_LANGUAGE = 600
-SAMPLE_TEXT_BYTES = 16_384
-#: Most languages that are learned, the most frequent first.
+#: More languages than this are taken for an error in the labels.
 LANGUAGES = 400
 EPOCHS = 6
 RATE = 0.5
@@ -121,14 +120,15 @@ def fold_of(doc_id: Column, folds: int = 5) -> Column:
 
 
 def labelled_sample(docs: DataFrame, rows: int = ROWS_A_LANGUAGE) -> list[tuple[str, bytes]]:
-    """About ``rows`` learnable rows of each language, picked by a hash of the id: bounded by rows, languages and bytes."""
+    """About ``rows`` learnable rows of each language, picked by a hash of the id: bounded by rows and languages."""
     learnable = docs.where(
         F.col("lang").isNotNull()
         & F.col("text").rlike(r"\p{L}")
         & (fold_of(F.col("doc_id")) != 0)
-        & (F.octet_length("text") <= SAMPLE_TEXT_BYTES)
     )
-    counts = learnable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = learnable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
     if not counts:
         return []
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)

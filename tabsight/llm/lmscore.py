@@ -26,13 +26,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tabsight.llm.common import raw_texts, shared_path, staged
+from tabsight.llm.common import raw_texts, shared_path, shuffles_dropped, staged
 from tabsight.llm.eliasfano import ef_access, ef_encode, map_arrays, pack, runs, summed, unpack, write_arrays
 
 SMOOTH = 0.1
 DISCOUNT = 0.75
-#: An n-gram of two or three words is kept from this count on if the caller names none; 1 keeps all, as the query does.
-LEAST = 2
+#: An n-gram of two or three words is kept from this count on if the caller names none; 1 keeps all.
+LEAST = 1
 FOLDS = 10
 #: One shard for so many documents, or for so many bytes of text if that makes more shards.
 SHARD_DOCS = 15_000
@@ -218,14 +218,41 @@ def by_shard(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray, parts: int
     """One row a shard and hash range of its keys: keys and counts as bytes."""
     part = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % parts
     group = shard * parts + part
-    order = np.argsort(group, kind="stable")
+    order = np.lexsort((keys, group))
     own, first = runs(group[order])
     last = np.append(first[1:], len(order))
-    rows = [(*divmod(int(g), parts), keys[order[a:b]].tobytes(), counts[order[a:b]].astype(np.int64).tobytes()) for g, a, b in zip(own, first, last)]
+    rows = [(*divmod(int(g), parts), thin_keys(keys[order[a:b]]), thin_counts(counts[order[a:b]])) for g, a, b in zip(own, first, last)]
     columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
     return pa.RecordBatch.from_arrays(columns, ["shard", "part", "keys", "counts"])
 
 
+def thin_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte of all: only as many bytes a key as the largest difference has."""
+    steps = np.diff(np.sort(keys), prepend=np.uint64(0)).astype("<u8")
+    width = (int(steps.max(initial=0)).bit_length() + 7) // 8 or 1
+    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def wide_keys(raw: bytes) -> np.ndarray:
+    width, steps = raw[0], np.frombuffer(raw, np.uint8, offset=1)
+    out = np.zeros((len(steps) // width, 8), np.uint8)
+    out[:, :width] = steps.reshape(width, -1).T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
+def thin_counts(counts: np.ndarray) -> bytes:
+    """A byte a count, 255 for those that follow in full at the end."""
+    large = counts >= 255
+    return int(large.sum()).to_bytes(8, "little") + np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<i8").tobytes()
+
+
+def wide_counts(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    counts = np.frombuffer(raw, np.uint8, len(raw) - 8 - 8 * n, 8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw, "<i8", n, len(raw) - 8 * n)
+    return counts
+
+
 def encode(trie: Trie):
     """Texts to token numbers, with the counts and the base score of the contract."""
 
@@ -333,15 +360,15 @@ def score_runs(trie: Trie, trigrams: np.ndarray):
 
 
 def gathered(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
+    keys = np.concatenate([wide_keys(x) for x in table.column("keys").to_pylist()])
+    counts = np.concatenate([wide_counts(x) for x in table.column("counts").to_pylist()])
     return table.column("shard")[0].as_py(), *summed(keys, counts)
 
 
 def merge(table: pa.Table) -> pa.Table:
     """The partial counts of one hash range of a shard as one row."""
     shard, keys, counts = gathered(table)
-    return pa.table({"shard": [shard], "part": [table.column("part")[0].as_py()], "keys": [keys.tobytes()], "counts": [counts.tobytes()]})
+    return pa.table({"shard": [shard], "part": [table.column("part")[0].as_py()], "keys": [thin_keys(keys)], "counts": [thin_counts(counts)]})
 
 
 SIZES = "shard long, size long, tokens long"
@@ -378,7 +405,8 @@ def built(trie: Trie, level: str, counted: DataFrame, write) -> tuple[Trie, np.n
     """Run the shards' tasks: the trie with its new files, where each shard's numbers begin, and the sum of all counts."""
     if trie.parts > 1:
         counted = counted.groupBy("shard", "part").applyInArrow(merge, COUNTED)
-    done = counted.groupBy("shard").applyInArrow(write, SIZES).collect()  # one row a shard
+    with shuffles_dropped(counted.sparkSession):
+        done = counted.groupBy("shard").applyInArrow(write, SIZES).collect()  # one row a shard
     size = np.zeros(trie.shards + 1, np.int64)
     for r in done:
         size[r.shard + 1] = r.size

@@ -112,16 +112,16 @@ def assign(df: DataFrame, order: Sequence[str], shards: int = SHARDS) -> DataFra
     return placed.withColumn("shard", shard).withColumn("slot", F.col("_rank") - first).drop("_at", "_rank", "_offset")
 
 
-def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def hilbert_shards(docs: DataFrame, shards: int = SHARDS, carry: Sequence[str] = ()) -> DataFrame:
     """One row a row of ``docs`` (doc_id, text, lang, source): doc_id, size, text_crc32, law, shard, slot, hilbert.
 
     The curve's dimensions are language, source, size and doc_id. Null texts have size 1 and a null checksum, null metadata
     go into the first cell; ties on the curve are ordered by checksum and doc_id, so equal texts with equal metadata are
-    neighbours; repeated rows are rows of their own. Other columns are not read, and an empty table gives an empty result.
+    neighbours; repeated rows are rows of their own. Other columns are not read but for those to ``carry``, and an empty table gives an empty result.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     narrow = docs.select(
-        "doc_id", size.alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), "lang", "source"
+        "doc_id", size.alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), "lang", "source", *carry
     )
     narrow = staged(narrow, "metadata")
     dimensions = {
@@ -136,11 +136,14 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """Write whole documents as one folder a shard, sorted along the curve, with footers that let readers skip files.
 
-    The folders are named after the column ``hilbert_shard``; columns of the names added here are replaced.
+    The folders are named after the column ``hilbert_shard``; columns of the names added here are replaced. Every row is
+    written once: rows are numbered and staged first, so repeated and null ids do no harm.
     """
-    placed = hilbert_shards(docs, shards).select("doc_id", F.col("shard").alias("hilbert_shard"), F.col("slot").alias("hilbert_slot"))
     place = ["hilbert_shard", "hilbert_slot"]
-    rows = docs.drop(*place).join(placed, "doc_id").repartitionByRange(*place).sortWithinPartitions(*place)
+    numbered = staged(docs.drop(*place, "hilbert_row").withColumn("hilbert_row", F.monotonically_increasing_id()), "rows")
+    placed = hilbert_shards(numbered, shards, ["hilbert_row"])
+    placed = placed.select("hilbert_row", F.col("shard").alias("hilbert_shard"), F.col("slot").alias("hilbert_slot"))
+    rows = numbered.join(placed, "hilbert_row").drop("hilbert_row").repartitionByRange(*place).sortWithinPartitions(*place)
     rows.write.partitionBy("hilbert_shard").parquet(path)
 
 

@@ -137,18 +137,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty table gives an empty result.
     """
     prints = staged(fingerprints(docs), "fingerprints")
+    classes = component_classes(prints)
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def component_classes(prints: DataFrame) -> DataFrame:
+    """(fp, label, component_id) of the fingerprints of ``prints`` (doc_id, fp): one label and smallest doc_id a component."""
     owners = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("owner")), "owners")
     labels = links_to_labels(fingerprint_links(owners), "simhash")
     placed = owners.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "owner", "label")
     tops = placed.where("label is not null").groupBy("label").agg(F.min("owner").alias("top"))
-    classes = placed.join(tops, "label", "left").select("fp", F.coalesce("top", "owner").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    both = placed.join(tops, "label", "left")
+    return both.select("fp", F.coalesce("label", "fp").alias("label"), F.when(F.col("label").isNull(), F.col("owner")).otherwise(F.col("top")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; a row without an id stays."""
-    found = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """One row of ``docs`` of each component: that with the smallest doc_id, nulls last, then by a hash of id and text.
+
+    Repeated rows are one document, of which one row stays. The hash joins back, so a component of a third of all rows is
+    no hot key.
+    """
+    key = F.struct("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2"))
+    prints = staged(fingerprints(docs.select(key.alias("doc_id"), "text")).select("doc_id.*", "fp"), "fingerprints")
+    classes = component_classes(prints.select("doc_id", "fp"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    firsts = prints.groupBy("fp").agg(F.min(order).alias("first"))  # copies are one row from here on
+    kept = firsts.join(classes, "fp").groupBy("label").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), key["k1"].alias("k1"), key["k2"].alias("k2")).join(kept, ["k1", "k2"], "left_semi")
+    if not prints.groupBy("k1", "k2").count().where("count > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["k1", "k2"])
+    return keyed.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

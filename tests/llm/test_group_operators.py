@@ -7,7 +7,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import xxhash
 
-from tabsight.llm import linededup, lmscore, shards, simhash, urlfilter
+from pyspark.sql import functions as F
+
+from tabsight.llm import decontaminate, linededup, lmscore, shards, simhash, urlfilter
 from tabsight.llm.common import links_to_labels
 from tabsight.llm.eliasfano import ef_access, ef_encode, pack, unpack
 
@@ -187,7 +189,7 @@ def test_language_model_equals_its_formula(spark, monkeypatch):
             return p2(b, w)
         return ((three2[a, b, w] - 0.75) / two[a, b] if (a, b, w) in three2 else 0) + rest3[a, b] * p2(b, w)
 
-    found = lmscore.score(frame(spark, data)).collect()
+    found = lmscore.score(frame(spark, data), least=2).collect()
     assert len(found) == len(data)
     for r in found:
         t = tokens[r.doc_id]
@@ -273,6 +275,31 @@ def test_hilbert_neighbours_are_grid_neighbours():
         assert (np.abs(np.diff(grid[:, order], axis=1)).sum(axis=0) == 1).all()
 
 
+def test_decisions_are_by_row_whatever_the_id(spark, tmp_path):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    data = [(1, text), (1, text), (None, text), (None, "quite another text of a few words"), (1, "a third text with words of its own"), (3, text), (None, None), (None, None)]
+    kept = sorted(map(tuple, simhash.keep_one(frame(spark, data)).select("doc_id", "text").collect()), key=str)
+    assert kept == sorted([(1, text), (None, "quite another text of a few words"), (1, "a third text with words of its own"), (None, None)], key=str)
+    items = spark.createDataFrame([(7, "three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
+    clean = decontaminate.drop_contaminated(frame(spark, data), items)
+    assert sorted((r.doc_id or 0, r.text or "") for r in clean.collect()) == sorted((d or 0, t or "") for d, t in data if t != text)
+    docs = frame(spark, data).withColumn("lang", F.lit("en")).withColumn("source", F.lit("web"))
+    shards.write_shards(docs, str(tmp_path / "shards"), 3)
+    written = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in written.collect()) == sorted((d or 0, t or "") for d, t in data)
+    assert {r["hilbert_shard"]: r["count"] for r in written.groupBy("hilbert_shard").count().collect()} == {0: 3, 1: 3, 2: 2}
+
+
+def test_thin_keys_and_counts_come_back():
+    rng = np.random.default_rng(3)
+    for keys in ([5], [0, 1 << 63], rng.integers(0, 1 << 40, 500)):
+        keys = np.sort(np.asarray(keys, np.uint64))
+        assert (lmscore.wide_keys(lmscore.thin_keys(keys)) == keys).all()
+    for counts in ([1], [254, 255, 256, 1 << 40], rng.integers(1, 300, 500)):
+        counts = np.asarray(counts, np.int64)
+        assert (lmscore.wide_counts(lmscore.thin_counts(counts)) == counts).all()
+
+
 def test_simhash_components_equal_all_pairs(spark):
     long = " ".join(f"t{i}" for i in range(900))
     data = rows() + AWKWARD + [(9700 + k, long.replace(f"t{40 * k + 7} ", "zz ")) for k in range(6)] + [(9005, "same words here\nsame words here")]
