@@ -146,10 +146,9 @@ def alike(left: Column, right: Column) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b, ...) whose shingle sets are alike; sizes are compared first, then lines are shuffled, not sets."""
-    sizes = texts.select("id", "k")
-    near = pairs.join(sizes.toDF("b", "kb"), "b").join(sizes.toDF("a", "ka"), "a").where(near_sizes())
-    both = near.join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b").join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
+    """The ``pairs`` (a, b, ...) whose shingle sets are alike; the lines are shuffled, not their sets."""
+    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("k").alias("kb")), "b")
+    both = left.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("k").alias("ka")), "a")
     return both.where(alike(shingle_set(F.col("la")), shingle_set(F.col("lb")))).select(*pairs.columns)
 
 
