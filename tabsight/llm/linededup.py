@@ -4,8 +4,8 @@ A line's shingles are the runs of ``SHINGLE_BYTES`` bytes of its UTF-8, one begi
 shorter line is its own shingle. Each shingle has one 64-bit hash, and ``MINIMA`` rotations of it order the shingles in as
 many ways; their minima are the signature. Bands are ``BANDS`` triples of minima, lines that agree in a whole band are
 candidates, candidates are verified by the exact Jaccard similarity of their shingle sets, and verified links go through a
-distributed union-find. At similarity 0.8 a pair becomes a candidate with probability 0.994 or more, from lines of nine shingles
-to lines of hundreds (simulated, see the tests), at 0.85 with 0.999. Memory for a line grows with its length: verifying holds a
+distributed union-find. At similarity 0.8 a pair becomes a candidate with probability 0.993 or more, from lines of nine shingles
+to lines of hundreds (simulated, see the tests), at 0.85 with 0.997 to 0.999. Memory for a line grows with its length: verifying holds a
 number a byte.
 
 No group is ever expanded into all its pairs. In a band's bucket every line is compared with one leader, the line that meets
@@ -34,8 +34,8 @@ MINIMA, BANDS, ROWS = 16, 12, 3
 #: Shingles of a row of the signature's aggregate.
 PACK = 8
 SMALL_BUCKET = 32
-#: Least hashes of a set that two lines of a large bucket compare first: with similarity 0.8 a third of 16 are common but once
-#: in more than 100 000 pairs.
+#: Least hashes of a set that two lines of a large bucket compare first: with similarity 0.8 a third of 16 were common in each
+#: of 200 000 simulated pairs.
 SKETCH = 16
 #: Slots of the set of wanted lines that is broadcast ahead of a join; more lines only fill it up.
 SLOTS = 1 << 20
