@@ -37,6 +37,8 @@ SMALL_BUCKET = 32
 #: Least hashes of a set that two lines of a large bucket compare first: with similarity 0.8 a third of 16 were common in each
 #: of 200 000 simulated pairs.
 SKETCH = 16
+#: Lines of a large bucket that a group of the join takes from the left; the right side goes to every group.
+BLOCK = 256
 #: Slots of the set of wanted lines that is broadcast ahead of a join; more lines only fill it up.
 SLOTS = 1 << 20
 
@@ -123,11 +125,20 @@ def only_wanted(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.withColumn("slot", F.pmod("h1", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
 
 
-def texts_of(lines: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, line, k): the text of the lines ``ids`` and the sizes of their shingle sets, which are many times the text."""
-    wanted = staged(signed.join(ids, "id").select("id", "h1", "h2"), "wanted")
+def sketch(hashes: Column) -> Column:
+    """The upper halves of the ``SKETCH`` least hashes of a set."""
+    return F.transform(F.slice(F.sort_array(hashes), 1, SKETCH), lambda x: F.shiftright(x, 32).cast("int"))
+
+
+def texts_of(lines: DataFrame, signed: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, line, k, least): the text of each line in a bucket and the size of its shingle set, which is many times the text;
+    ``least`` is the sketch of a line in a large bucket, else null."""
+    ids = members.groupBy("id").agg((F.max("n") > SMALL_BUCKET).alias("large"))
+    wanted = staged(signed.join(ids, "id").select("id", "h1", "h2", "large"), "wanted")
     text = only_wanted(lines, wanted).groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    texts = staged(text.join(wanted, ["h1", "h2"]).select("id", "line", F.size(shingle_set(F.col("line"))).alias("k")), "texts")
+    measure = lambda s: F.struct(F.size(s).alias("k"), F.when(F.col("large"), sketch(s)).alias("least"))
+    measured = text.join(wanted, ["h1", "h2"]).select("id", "line", let(shingle_set(F.col("line")), measure).alias("of"))
+    texts = staged(measured.select("id", "line", "of.k", "of.least"), "texts")
     deleted(lines.sparkSession, wanted.staged_path)
     return texts
 
@@ -165,11 +176,16 @@ def left_open(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFr
     pairs = met.select("a", "b", "label_a", "label_b").distinct()
     few_links = verified(pairs, texts).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
 
-    many = open_.where(F.col("n") > SMALL_BUCKET).join(texts.select("id", "line"), "id").withColumn("s", shingle_set(F.col("line")))
-    many = many.withColumn("least", F.slice(F.sort_array("s"), 1, SKETCH))
-    left, right = (many.select("key", F.col("label").alias(x), *[F.col(c).alias(c[0] + x) for c in ("k", "s", "least")]) for x in "ab")
-    hinted = 3 * F.size(F.array_intersect("la", "lb")) >= F.least("ka", "kb", F.lit(SKETCH))
-    many_links = left.join(right, "key").where((F.col("a") < F.col("b")) & near_sizes() & hinted & alike(F.col("sa"), F.col("sb"))).select("a", "b")
+    # Rows carry a line and its sketch, not its set: few bytes, and sets are only made for pairs that the sketch lets through.
+    groups = F.ceil(F.col("n") / BLOCK).cast("long")
+    many = open_.where(F.col("n") > SMALL_BUCKET).join(texts.select("id", "line", "least"), "id")
+    one, each = F.pmod(F.xxhash64("id"), groups), F.explode(F.sequence(F.lit(0).cast("long"), groups - 1))
+    left, right = (
+        many.select("key", at.alias("at"), F.col("label").alias(x), *[F.col(c).alias(c + x) for c in ("k", "line", "least")]) for x, at in (("a", one), ("b", each))
+    )
+    hinted = 3 * F.size(F.array_intersect("leasta", "leastb")) >= F.least("ka", "kb", F.lit(SKETCH))
+    near = (F.col("a") < F.col("b")) & near_sizes() & hinted & alike(shingle_set(F.col("linea")), shingle_set(F.col("lineb")))
+    many_links = left.join(right, ["key", "at"]).where(near).select("a", "b")
     links = staged(few_links.unionAll(many_links).distinct(), "links")
     deleted(spark, open_.staged_path)
     return links
@@ -180,7 +196,7 @@ def line_classes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = lines.sparkSession
     signed = staged(signatures(lines), "signatures")
     members = staged(buckets(signed), "buckets")
-    texts = texts_of(lines, signed, members.select("id").distinct())
+    texts = texts_of(lines, signed, members)
     labels = staged(links_to_labels(verified(stars(members), texts), "lines"), "labels")
     more = left_open(members, labels, texts)
     deleted(spark, members.staged_path, texts.staged_path)
