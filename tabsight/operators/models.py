@@ -209,9 +209,9 @@ def _fit_candidate(candidate: Candidate, recipe: FittedRecipe, encoded: DataFram
     return candidate.make(n, len(labels), redundant).fit(encoded.select("features", "label"))
 
 
-def _prepare(train: DataFrame, recipe: Recipe, target: str, task: str, key: str, resample: bool, seed: int):
+def _prepare(train: DataFrame, recipe: Recipe, target: str, task: str, key: str, resample: bool, seed: int, fitted: FittedRecipe | None = None):
     """Everything learned from training rows: recipe, label order, target scale and (optionally) new minority rows."""
-    fitted = recipe.fit(train)
+    fitted = fitted or recipe.fit(train)
     use_log = _use_log(train, target, task)
     labels = class_labels(train, target) if task == "classification" else []
     encoded = fitted.transform(train, [key, target])
@@ -251,7 +251,7 @@ def cross_validate(
     """Held-out predictions (model, fold, key, y, pred[, probabilities]) and the error of each failed candidate.
 
     ``df`` has a ``fold`` column, or (fold, role) rows for time-ordered folds. All candidates share the splits.
-    Per fold the recipe is fitted on training rows only and its encoded rows are persisted while the
+    Recipes of all folds are fitted together, each from its training rows only (time-ordered folds one by one). A fold's encoded rows are persisted while the
     candidates train on them, as concurrent Spark jobs. Predictions are checkpointed as they are made, so the
     result does not carry the plans of every fold. A candidate that fails is recorded and the others go on.
     """
@@ -260,6 +260,12 @@ def cross_validate(
     timed = "role" in df.columns
     folds = list(folds) if folds is not None else sorted(r["fold"] for r in df.select("fold").distinct().collect())
     errors: dict[str, str] = {}
+    recipes: dict[int, FittedRecipe] = {}
+    if not timed:
+        try:
+            recipes = recipe.fit_folds(df, folds)
+        except Exception as error:  # noqa: BLE001 - folds are then fitted one by one, so that only the failing one is lost
+            log.warning("folds could not be fitted together: %s", error)
 
     def attempt(candidate: Candidate, fold: int, train: DataFrame, held_out: DataFrame, encoded: DataFrame, n: int, parts) -> DataFrame | None:
         fitted, use_log, labels = parts
@@ -285,7 +291,7 @@ def cross_validate(
         else:
             train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
         try:
-            fitted, use_log, labels, encoded = _prepare(train, recipe, target, task, key, resample, seed)
+            fitted, use_log, labels, encoded = _prepare(train, recipe, target, task, key, resample, seed, recipes.get(fold))
         except Exception as error:  # noqa: BLE001 - no candidate can be trained on a fold that cannot be prepared
             log.warning("fold %s could not be prepared: %s", fold, error)
             for c in candidates:

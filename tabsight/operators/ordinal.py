@@ -169,6 +169,16 @@ def quantiles(
         return wide.select(*by, F.inline("_rows"))
     group = [*by, "column"]
     counts = unpivot_number(df, columns, by).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("_n"))
+    return counted_quantiles(counts, group, probs, small=False)
+
+
+def counted_quantiles(counts: DataFrame, group: Sequence[str], probs: Sequence[float], small: bool | None = None) -> DataFrame:
+    """(group..., q: array<double>) of a table (group..., value, _n) in which ``value`` stands for ``_n`` equal values."""
+    if small is None:
+        small = is_small(counts)
+    if small:
+        q = F.percentile(F.col("value").cast("double"), F.array(*[F.lit(float(p)) for p in probs]), F.col("_n"))
+        return counts.groupBy(*group).agg(q.alias("q"))
     ranked = pin(running_total(counts, ["value"], {"_upto": "_n"}, group, small=False))
     totals = ranked.groupBy(*group).agg(F.max("_upto").alias("_total"))
     wanted = totals.select(

@@ -148,6 +148,33 @@ def _(spark, d):
     return H.fold_scores(predictions, "classification", ["good", "poor"])
 
 
+@query(
+    "h7_out_of_fold",
+    f"""WITH d AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 7 THEN CAST(l_quantity AS DOUBLE) END AS quantity, CAST(l_extendedprice AS DOUBLE) AS price,
+    l_shipmode AS mode, l_orderkey % 5 AS fold FROM lineitem), f AS (SELECT DISTINCT fold FROM d),
+    m AS (SELECT f.fold, quantile_cont(quantity, 0.5) AS mid FROM f JOIN d ON d.fold <> f.fold GROUP BY f.fold),
+    s AS (SELECT m.fold, avg(coalesce(quantity, mid)) AS mean, stddev_pop(coalesce(quantity, mid)) AS sd, min(price) AS lo, max(price) AS hi, count(*) AS n
+     FROM m JOIN d ON d.fold <> m.fold GROUP BY m.fold),
+    c AS (SELECT f.fold, mode, count(*) AS n_mode FROM f JOIN d ON d.fold <> f.fold GROUP BY f.fold, mode)
+    SELECT CAST(d.fold AS BIGINT) AS fold, l_orderkey, l_linenumber, {r('(coalesce(quantity, mid) - mean) / sd')} AS quantity, {r('(price - lo) / (hi - lo)')} AS price,
+     {r('coalesce(n_mode / n, 0)')} AS mode_frequency FROM d JOIN m USING (fold) JOIN s USING (fold) LEFT JOIN c ON c.fold = d.fold AND c.mode = d.mode""",
+)
+def _(spark, d):
+    line = table(spark, d, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("quantity"),
+        F.col("l_extendedprice").alias("price"),
+        F.col("l_shipmode").alias("mode"),
+        (F.col("l_orderkey") % 5).cast("long").alias("fold"),
+    )
+    recipe = Recipe(
+        [One("quantity", "numeric", "median", "none", "standard"), One("price", "numeric", "none", "none", "minmax"), One("mode", "categorical", "none", "frequency")]
+    )
+    encoded = recipe.encode_folds(line, range(5), ["l_orderkey", "l_linenumber"])
+    return numbers(encoded, 6)
+
+
 _BOARD_SCORES = """s AS (SELECT CASE l_returnflag WHEN 'A' THEN 'Forest' WHEN 'N' THEN 'Linear' ELSE 'Baseline' END AS model, l_linenumber AS fold,
  avg(l_quantity) / 50 - CASE WHEN l_returnflag = 'R' THEN 0.2 ELSE 0 END AS value FROM lineitem GROUP BY l_returnflag, l_linenumber)"""
 

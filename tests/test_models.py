@@ -51,6 +51,44 @@ def test_every_row_is_predicted_once_per_model(validated, churn):
     assert set(counts.values()) == {(160, 160)} and errors == {"Broken": "cannot be built"}
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_recipes_of_all_folds_equal_fits_on_the_training_rows(spark, monkeypatch, small):
+    monkeypatch.setattr("tabsight.operators.ordinal.is_small", lambda *_: small)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(90):
+        gap = lambda v, share: None if rng.random() < share else v
+        rows.append(
+            (i, i % 3 if i < 88 else None, gap(float(rng.normal(1e6, 3)), 0.2), 7.5 if i % 3 else None, gap("abc"[int(rng.integers(3))], 0.3),
+             gap(f"t{int(rng.integers(12))}", 0.2), gap(f"2024-0{1 + i % 9}-11 0{i % 7}:00:00", 0.1), None if i % 3 == 1 else "only")
+        )
+    df = spark.createDataFrame(rows, "id long, fold long, x double, same double, kind string, tag string, at string, lone string")
+    recipe = Recipe(
+        [
+            One("x", "numeric", "mean", "none", "standard"),
+            One("same", "numeric", "median", "none", "standard"),
+            One("kind", "categorical", "constant", "onehot", "standard"),
+            One("tag", "text", "most_frequent", "frequency"),
+            One("at", "datetime", "none", "none", "minmax"),
+            One("lone", "categorical", "most_frequent", "onehot"),
+        ]
+    )
+    table = lambda f: {r["v"]: r["share"] for r in f.frequencies["tag"].collect()}
+    found = recipe.fit_folds(df, [0, 1, 2])
+    assert set(found) == {0, 1, 2}
+    for fold, got in found.items():
+        want = recipe.fit(df.where(F.col("fold") != fold))
+        assert (got.label_fill, got.vocabularies, got.lineage) == (want.label_fill, want.vocabularies, want.lineage)
+        assert got.number_fill == pytest.approx(want.number_fill)
+        assert set(got.scales) == set(want.scales)
+        for name, scale in want.scales.items():
+            assert got.scales[name] == pytest.approx(scale), name
+        assert table(got) == pytest.approx(table(want))
+    encoded = recipe.encode_folds(df, [0, 1, 2], ["id"]).collect()
+    assert sorted(r["id"] for r in encoded) == list(range(88))
+    assert recipe.fit_folds(df.limit(0), [0])[0].scales["x"] == (0.0, 1.0)
+
+
 def test_leaderboard(validated):
     predictions, errors = validated
     scores = H.fold_scores(predictions, "classification", ["no", "yes"])
