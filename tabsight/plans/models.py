@@ -151,7 +151,7 @@ def _(spark, d):
 @query(
     "h7_out_of_fold",
     f"""WITH d AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 7 THEN CAST(l_quantity AS DOUBLE) END AS quantity, CAST(l_extendedprice AS DOUBLE) AS price,
-    l_shipmode AS mode, l_orderkey % 5 AS fold FROM lineitem), f AS (SELECT DISTINCT fold FROM d),
+    l_returnflag AS mode, l_orderkey % 5 AS fold FROM lineitem), f AS (SELECT DISTINCT fold FROM d),
     m AS (SELECT f.fold, quantile_cont(quantity, 0.5) AS mid FROM f JOIN d ON d.fold <> f.fold GROUP BY f.fold),
     s AS (SELECT m.fold, avg(coalesce(quantity, mid)) AS mean, stddev_pop(coalesce(quantity, mid)) AS sd, min(price) AS lo, max(price) AS hi, count(*) AS n
      FROM m JOIN d ON d.fold <> m.fold GROUP BY m.fold),
@@ -165,7 +165,7 @@ def _(spark, d):
         "l_linenumber",
         F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("quantity"),
         F.col("l_extendedprice").alias("price"),
-        F.col("l_shipmode").alias("mode"),
+        F.col("l_returnflag").alias("mode"),
         (F.col("l_orderkey") % 5).cast("long").alias("fold"),
     )
     recipe = Recipe(
