@@ -176,15 +176,16 @@ def left_open(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFr
     pairs = met.select("a", "b", "label_a", "label_b").distinct()
     few_links = verified(pairs, texts).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
 
-    # Rows carry a line and its sketch, not its set: few bytes, and sets are only made for pairs that the sketch lets through.
+    # Rows carry a line and its sketch through the shuffle; its set, many times the bytes, is made once a row after it.
     groups = F.ceil(F.col("n") / BLOCK).cast("long")
     many = open_.where(F.col("n") > SMALL_BUCKET).join(texts.select("id", "line", "least"), "id")
     one, each = F.pmod(F.xxhash64("id"), groups), F.explode(F.sequence(F.lit(0).cast("long"), groups - 1))
     left, right = (
         many.select("key", at.alias("at"), F.col("label").alias(x), *[F.col(c).alias(c + x) for c in ("k", "line", "least")]) for x, at in (("a", one), ("b", each))
     )
+    left, right = (side.repartition("key", "at").withColumn(f"s{x}", shingle_set(F.col(f"line{x}"))) for side, x in ((left, "a"), (right, "b")))
     hinted = 3 * F.size(F.array_intersect("leasta", "leastb")) >= F.least("ka", "kb", F.lit(SKETCH))
-    near = (F.col("a") < F.col("b")) & near_sizes() & hinted & alike(shingle_set(F.col("linea")), shingle_set(F.col("lineb")))
+    near = (F.col("a") < F.col("b")) & near_sizes() & hinted & alike(F.col("sa"), F.col("sb"))
     many_links = left.join(right, ["key", "at"]).where(near).select("a", "b")
     links = staged(few_links.unionAll(many_links).distinct(), "links")
     deleted(spark, open_.staged_path)
