@@ -131,14 +131,15 @@ def sketch(hashes: Column) -> Column:
 
 
 def texts_of(lines: DataFrame, signed: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, line, k, least): the text of each line in a bucket and the size of its shingle set, which is many times the text;
-    ``least`` is the sketch of a line in a large bucket, else null."""
+    """(id, line, k, least, bands): the text of each line in a bucket and the size of its shingle set, which is many times the
+    text; ``least`` is the sketch of a line in a large bucket, else null, and so are ``bands``."""
     ids = members.groupBy("id").agg((F.max("n") > SMALL_BUCKET).alias("large"))
-    wanted = staged(signed.join(ids, "id").select("id", "h1", "h2", "large"), "wanted")
+    bands = F.when(F.col("large"), F.col("bands")).alias("bands")
+    wanted = staged(signed.join(ids, "id").select("id", "h1", "h2", "large", bands), "wanted")
     text = only_wanted(lines, wanted).groupBy("h1", "h2").agg(F.first("line").alias("line"))
     measure = lambda s: F.struct(F.size(s).alias("k"), F.when(F.col("large"), sketch(s)).alias("least"))
-    measured = text.join(wanted, ["h1", "h2"]).select("id", "line", let(shingle_set(F.col("line")), measure).alias("of"))
-    texts = staged(measured.select("id", "line", "of.k", "of.least"), "texts")
+    measured = text.join(wanted, ["h1", "h2"]).select("id", "line", "bands", let(shingle_set(F.col("line")), measure).alias("of"))
+    texts = staged(measured.select("id", "line", "of.k", "of.least", "bands"), "texts")
     deleted(lines.sparkSession, wanted.staged_path)
     return texts
 
@@ -156,6 +157,12 @@ def alike(left: Column, right: Column) -> Column:
     return near_sizes() & ((under + over) * common >= over * (F.col("ka") + F.col("kb")))
 
 
+def first_met() -> Column:
+    """Whether ``key`` is the first band that both lines agree in, so that a pair is compared in one of its buckets only."""
+    agreed = [F.when(F.col("bandsa")[i] == F.col("bandsb")[i], F.col("bandsa")[i]) for i in range(BANDS)]
+    return F.col("key") == F.coalesce(*agreed)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b, ...) whose shingle sets are alike; the lines are shuffled, not their sets."""
     left = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("k").alias("kb")), "b")
@@ -178,14 +185,14 @@ def left_open(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFr
 
     # Rows carry a line and its sketch through the shuffle; its set, many times the bytes, is made once a row after it.
     groups = F.ceil(F.col("n") / BLOCK).cast("long")
-    many = open_.where(F.col("n") > SMALL_BUCKET).join(texts.select("id", "line", "least"), "id")
+    many = open_.where(F.col("n") > SMALL_BUCKET).join(texts.select("id", "line", "least", "bands"), "id")
     one, each = F.pmod(F.xxhash64("id"), groups), F.explode(F.sequence(F.lit(0).cast("long"), groups - 1))
     left, right = (
-        many.select("key", at.alias("at"), F.col("label").alias(x), *[F.col(c).alias(c + x) for c in ("k", "line", "least")]) for x, at in (("a", one), ("b", each))
+        many.select("key", at.alias("at"), F.col("label").alias(x), *[F.col(c).alias(c + x) for c in ("k", "line", "least", "bands")]) for x, at in (("a", one), ("b", each))
     )
     left, right = (side.repartition("key", "at").withColumn(f"s{x}", shingle_set(F.col(f"line{x}"))) for side, x in ((left, "a"), (right, "b")))
     hinted = 3 * F.size(F.array_intersect("leasta", "leastb")) >= F.least("ka", "kb", F.lit(SKETCH))
-    near = (F.col("a") < F.col("b")) & near_sizes() & hinted & alike(F.col("sa"), F.col("sb"))
+    near = (F.col("a") < F.col("b")) & first_met() & near_sizes() & hinted & alike(F.col("sa"), F.col("sb"))
     many_links = left.join(right, ["key", "at"]).where(near).select("a", "b")
     links = staged(few_links.unionAll(many_links).distinct(), "links")
     deleted(spark, open_.staged_path)
