@@ -34,9 +34,8 @@ MINIMA, BANDS, ROWS = 16, 12, 3
 #: Shingles of a row of the signature's aggregate.
 PACK = 8
 SMALL_BUCKET = 32
-#: Least hashes of a set that two lines of a large bucket compare first: with similarity 0.8 a third of 16 were common in each
-#: of 200 000 simulated pairs.
-SKETCH = 16
+#: Groups of eight 64-bit words in the bit map that lines of a large bucket compare ahead of their sets.
+MAP_GROUPS = 8
 #: Lines of a large bucket that a group of the join takes from the left; the right side goes to every group.
 BLOCK = 256
 #: Slots of the set of wanted lines that is broadcast ahead of a join; more lines only fill it up.
@@ -125,21 +124,30 @@ def only_wanted(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.withColumn("slot", F.pmod("h1", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
 
 
-def sketch(hashes: Column) -> Column:
-    """The upper halves of the ``SKETCH`` least hashes of a set."""
-    return F.transform(F.slice(F.sort_array(hashes), 1, SKETCH), lambda x: F.shiftright(x, 32).cast("int"))
+def bit_map(hashes: Column) -> Column:
+    """A set folded to ``MAP_GROUPS`` times 8 longs: each hash sets one bit."""
+    bits = lambda x, at: F.shiftright(x, at).bitwiseAND(F.lit(63))
+    numbers = lambda n: F.array(*[F.lit(i).cast("long") for i in range(n)])
+
+    def word(part: Column, w: Column) -> Column:
+        mine = F.filter(part, lambda x: bits(x, 6).bitwiseAND(F.lit(7)) == w)
+        one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), bits(x, 0).cast("int"))
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda held, x: held.bitwiseOR(one(x)))
+
+    group = lambda g: F.filter(hashes, lambda x: F.pmod(F.shiftright(x, 9), F.lit(MAP_GROUPS)) == g)
+    return F.flatten(F.transform(numbers(MAP_GROUPS), lambda g: let(group(g), lambda part: F.transform(numbers(8), lambda w: word(part, w)))))
 
 
 def texts_of(lines: DataFrame, signed: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, line, k, least, bands): the text of each line in a bucket and the size of its shingle set, which is many times the
-    text; ``least`` is the sketch of a line in a large bucket, else null, and so are ``bands``."""
+    """(id, line, k, bits, bands): the text of each line in a bucket and the size of its shingle set, which is many times the
+    text; ``bits`` is the bit map of a line in a large bucket, else null, and so are ``bands``."""
     ids = members.groupBy("id").agg((F.max("n") > SMALL_BUCKET).alias("large"))
     bands = F.when(F.col("large"), F.col("bands")).alias("bands")
     wanted = staged(signed.join(ids, "id").select("id", "h1", "h2", "large", bands), "wanted")
     text = only_wanted(lines, wanted).groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    measure = lambda s: F.struct(F.size(s).alias("k"), F.when(F.col("large"), sketch(s)).alias("least"))
+    measure = lambda s: F.struct(F.size(s).alias("k"), F.when(F.col("large"), bit_map(s)).alias("bits"))
     measured = text.join(wanted, ["h1", "h2"]).select("id", "line", "bands", let(shingle_set(F.col("line")), measure).alias("of"))
-    texts = staged(measured.select("id", "line", "of.k", "of.least", "bands"), "texts")
+    texts = staged(measured.select("id", "line", "of.k", "of.bits", "bands"), "texts")
     deleted(lines.sparkSession, wanted.staged_path)
     return texts
 
@@ -157,6 +165,14 @@ def alike(left: Column, right: Column) -> Column:
     return near_sizes() & ((under + over) * common >= over * (F.col("ka") + F.col("kb")))
 
 
+def may_be_alike() -> Column:
+    """False only for lines that are not alike: two maps differ in no more bits than their sets in shingles."""
+    over, under = SIMILARITY
+    words = F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(words, F.lit(0), lambda held, n: held + n)
+    return (under + over) * apart <= (under - over) * (F.col("ka") + F.col("kb"))
+
+
 def first_met() -> Column:
     """Whether ``key`` is the first band that both lines agree in, so that a pair is compared in one of its buckets only."""
     agreed = [F.when(F.col("bandsa")[i] == F.col("bandsb")[i], F.col("bandsa")[i]) for i in range(BANDS)]
@@ -183,16 +199,15 @@ def left_open(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFr
     pairs = met.select("a", "b", "label_a", "label_b").distinct()
     few_links = verified(pairs, texts).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
 
-    # Rows carry a line and its sketch through the shuffle; its set, many times the bytes, is made once a row after it.
+    # Rows carry a line and its bit map through the shuffle; its set, many times the bytes, is made once a row after it.
     groups = F.ceil(F.col("n") / BLOCK).cast("long")
-    many = open_.where(F.col("n") > SMALL_BUCKET).join(texts.select("id", "line", "least", "bands"), "id")
+    many = open_.where(F.col("n") > SMALL_BUCKET).join(texts.select("id", "line", "bits", "bands"), "id")
     one, each = F.pmod(F.xxhash64("id"), groups), F.explode(F.sequence(F.lit(0).cast("long"), groups - 1))
     left, right = (
-        many.select("key", at.alias("at"), F.col("label").alias(x), *[F.col(c).alias(c + x) for c in ("k", "line", "least", "bands")]) for x, at in (("a", one), ("b", each))
+        many.select("key", at.alias("at"), F.col("label").alias(x), *[F.col(c).alias(c + x) for c in ("k", "line", "bits", "bands")]) for x, at in (("a", one), ("b", each))
     )
     left, right = (side.repartition("key", "at").withColumn(f"s{x}", shingle_set(F.col(f"line{x}"))) for side, x in ((left, "a"), (right, "b")))
-    hinted = 3 * F.size(F.array_intersect("leasta", "leastb")) >= F.least("ka", "kb", F.lit(SKETCH))
-    near = (F.col("a") < F.col("b")) & first_met() & near_sizes() & hinted & alike(F.col("sa"), F.col("sb"))
+    near = (F.col("a") < F.col("b")) & first_met() & near_sizes() & may_be_alike() & alike(F.col("sa"), F.col("sb"))
     many_links = left.join(right, ["key", "at"]).where(near).select("a", "b")
     links = staged(few_links.unionAll(many_links).distinct(), "links")
     deleted(spark, open_.staged_path)
