@@ -31,6 +31,7 @@ SHINGLE_BYTES = 12
 #: Least Jaccard similarity as a fraction, so that whole numbers are compared.
 SIMILARITY = (4, 5)
 MINIMA, BANDS, ROWS = 16, 12, 3
+BLANKS = " \t\r\x0b\x0c"
 #: Shingles of a row of the signature's aggregate.
 PACK = 8
 SMALL_BUCKET = 32
@@ -76,8 +77,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
     h1 and h2 are 128 bits that name the line.
     """
-    split = docs.select("doc_id", *document_key(), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    lines = split.select("doc_id", "k1", "k2", "no", F.btrim("line", F.lit(" \t\r\x0b\x0c")).alias("line")).where("line <> ''")
+    # The keys are worked out a document, below the explode; trimming is dear, so only lines that begin or end with a blank are.
+    split = docs.select("doc_id", *document_key(), F.split("text", "\n").alias("parts"))
+    split = split.select("doc_id", "k1", "k2", F.posexplode("parts").alias("no", "raw"))
+    blank = lambda end: F.instr(F.lit(BLANKS), end) > 0
+    line = F.when(blank(F.left("raw", F.lit(1))) | blank(F.right("raw", F.lit(1))), F.btrim("raw", F.lit(BLANKS))).otherwise(F.col("raw"))
+    lines = split.select("doc_id", "k1", "k2", "no", line.alias("line")).where("line <> ''")
     return lines.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
