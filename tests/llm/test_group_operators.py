@@ -129,6 +129,23 @@ def test_line_dedup_of_large_buckets_and_very_long_lines(spark, monkeypatch):
     assert {r.doc_id: r.n_removed for r in report} == {1: 0, 2: 1, 3: 0}
 
 
+def test_bit_maps_never_rule_out_alike_lines(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for n in (1, 9, 200, 900, 5000):
+        base = rng.integers(-(1 << 62), 1 << 62, n)
+        for apart in (0, n // 20, n // 9, n // 4, n):
+            rows.append((base.tolist(), [*base[apart:].tolist(), *rng.integers(-(1 << 62), 1 << 62, apart).tolist()]))
+    sets = spark.createDataFrame(rows, "sa array<long>, sb array<long>")
+    maps = sets.select("*", *[linededup.bit_map(F.col(f"s{x}")).alias(f"bits{x}") for x in "ab"], *[F.size(f"s{x}").alias(f"k{x}") for x in "ab"])
+    found = maps.select("sa", "sb", "bitsa", linededup.may_be_alike().alias("may"), linededup.alike(F.col("sa"), F.col("sb")).alias("alike")).collect()
+    assert len(found) == len(rows) and any(not r.may for r in found)
+    for r in found:
+        a, b = set(r.sa), set(r.sb)
+        assert r.alike == (5 * len(a & b) >= 4 * len(a | b)) and (r.may or not r.alike)
+        assert len(r.bitsa) == 8 * linededup.MAP_GROUPS and sum(bin(w & (1 << 64) - 1).count("1") for w in r.bitsa) <= len(a)
+
+
 def test_bands_find_pairs_of_the_least_similarity():
     rng, triples, shift = np.random.default_rng(0), linededup.band_triples(), 64 // linededup.MINIMA
     turn = lambda x, m: (x << np.uint64(m * shift)) | (x >> np.uint64(64 - m * shift)) if m else x
