@@ -14,15 +14,34 @@ NUMBER_PATTERN = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 #: A date has a separator; bare digits never count as one.
 DATE_SEPARATOR = r"[-/:\s.]"
 
-#: Date layouts tried in this order, each with the shape a value must have before it is parsed: most text
-#: is ruled out by the shape, and a failed parse is far dearer than a failed match.
-DATE_FORMATS = (
-    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
-    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
-    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
-    ("dd/MM/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
-    ("MMMM d, yyyy", r"^[A-Za-z]+ \d{1,2}, \d{4}$"),
-)
+_MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
+_WEEKDAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
+_DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
+#: Time of day with minutes or seconds and a zone, as two groups.
+_TIME = r"(?:(?:\s+|,\s*|T)(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(Z|UTC|GMT|[+-]\d{2}(?::?\d{2})?)?)?"
+#: A first number up to twelve is the month, a larger one the day.
+_MONTH_NUMBER, _DAY_OVER_12 = r"(0?[1-9]|1[0-2])", r"(1[3-9]|[23]\d)"
+_FIRST_LETTERS = "janfebmaraprmayjunjulaugsepoctnovdec"
+#: Years of two digits are 1969 to 2068.
+_YEARS = ((r"(\d{4})", ""), (r"(69|[7-9]\d)", "19"), (r"(\d{2})", "20"))
+
+
+def _shapes() -> tuple[tuple[str, str], ...]:
+    """Shapes of a date, each with its text for the parser; a month's name stands before a bar."""
+    out = [(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})", "$1-$3-$4 $5$6")]
+    for year, century in _YEARS:
+        out.append((rf"{_MONTH_NUMBER}([-/.])(\d{{1,2}})\2{year}", f"{century}$4-$1-$3 $5$6"))
+        out.append((rf"{_DAY_OVER_12}([-/.])(\d{{1,2}})\2{year}", f"{century}$4-$3-$1 $5$6"))
+        out.append((rf"{_DAY}[-\s]+(?:of\s+)?{_MONTH},?[-\s]+{year}", f"$2|{century}$3-#-$1 $4$5"))
+    out.append((rf"{_MONTH}\s+{_DAY},?\s+(\d{{4}})", "$1|$3-#-$2 $4$5"))
+    out.append((rf"{_MONTH}\s+(\d{{4}})", "$1|$2-#-1 $3$4"))
+    return tuple((rf"(?i)^{_WEEKDAY}{shape}{_TIME}$", text) for shape, text in out)
+
+
+DATE_SHAPES = _shapes()
+#: How every shape begins, and the longest text looked at: one match rules most text out before any shape is tried.
+DATE_START = r"(?i)^(?:[a-z]{3,9}\.?,?\s+){0,2}\d{1,4}(?:[-/.]\d|[-/.\s]*(?:st|nd|rd|th|of|[a-z]{3}|,)|\s+\d|$)"
+DATE_LENGTH = 60
 
 
 def named(name: str) -> Column:
@@ -58,11 +77,53 @@ def parse_number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
 
 
-def parse_datetime(text: Column, formats: Sequence[tuple[str, str]] = DATE_FORMATS) -> Column:
-    """Mixed-format date parsing: the first layout that reads the value wins, else null."""
-    trimmed = F.trim(text)
-    attempts = [F.when(trimmed.rlike(shape), F.try_to_timestamp(trimmed, F.lit(fmt))) for fmt, shape in formats]
-    return F.coalesce(*attempts).cast("timestamp_ntz")
+def parse_datetime(text: Column) -> Column:
+    """Mixed-format date parsing: the first shape that a value has sorts its parts, then one cast reads them; else null.
+
+    Of two numbers the month comes first, the day only if the first is over twelve. Times are optional, with minutes or
+    seconds, a fraction, am or pm, and a zone, which is taken off (the session runs in UTC).
+    """
+    begun = (F.length(F.trim(text)) <= DATE_LENGTH) & F.trim(text).rlike(DATE_START)
+    return F.when(begun, _bound(F.trim(text), _read_date))
+
+
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` worked out once, so that nested uses don't multiply the generated code."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _read_date(trimmed: Column) -> Column:
+    halved = trimmed.rlike(r"(?i)\d\s*[ap]\.?m\.?$")
+    after_noon = trimmed.rlike(r"(?i)p\.?m\.?$")
+    half_day = F.expr("INTERVAL 12 HOURS")
+
+    def turned(moment: Column) -> Column:
+        moved = F.when(after_noon & (F.hour(moment) < 12), moment + half_day).when(~after_noon & (F.hour(moment) == 12), moment - half_day)
+        return F.when(halved, F.coalesce(moved, moment)).otherwise(moment)
+
+    whole = F.when(halved, F.regexp_replace(trimmed, r"(?i)\s*[ap]\.?m\.?$", "")).otherwise(trimmed)
+    return _bound(_bound(_bound(whole, _with_zone), _sorted_parts).try_cast("timestamp").cast("timestamp_ntz"), turned)
+
+
+def _with_zone(plain: Column) -> Column:
+    """A zone as the cast reads it: after seconds, with a colon, UTC as Z."""
+    zoned = plain.rlike(r"(?i):\d{2}(\.\d+)?\s*(Z|UTC|GMT|[+-]\d{2}(:?\d{2})?)$")
+    whole = F.regexp_replace(plain, r"(?i)([T\s]\d{1,2}:\d{2})\s*(Z|UTC|GMT|[+-][\d:]+)$", "$1:00$2")
+    whole = F.regexp_replace(F.regexp_replace(whole, r"([+-]\d{2})$", "$1:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    return F.when(zoned, F.regexp_replace(whole, r"(?i)\s*(UTC|GMT)$", "Z")).otherwise(plain)
+
+
+def _sorted_parts(plain: Column) -> Column:
+    """The parts as year-month-day and time by the first shape that fits; null if none does."""
+    said = F.lit(None).cast("string")
+    for shape, parts in reversed(DATE_SHAPES):
+        sorted_ = F.regexp_replace(plain, shape, parts)
+        if "|" in parts:
+            first = F.lower(F.substring(F.substring_index(sorted_, "|", 1), 1, 3))
+            number = F.floor((F.instr(F.lit(_FIRST_LETTERS), first) + 2) / 3).cast("string")
+            sorted_ = F.replace(F.substring_index(sorted_, "|", -1), F.lit("#"), number)
+        said = F.when(plain.rlike(shape), sorted_).otherwise(said)
+    return said
 
 
 def rounded(value: Column, digits: int = 6) -> Column:
